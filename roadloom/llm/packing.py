@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import n_buckets, prefix_within, with_text, written
+from .shared import map_arrow, n_buckets, prefix_within, with_text, written
 
 MAX_TOKENS = 2048
 MAX_DOCUMENTS = 2048
@@ -85,7 +85,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, max_tokens: int = MAX_TOKENS, k
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return with_text(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES + (", ids array<long>" if keep_ids else ""))
+    return map_arrow(with_text(docs).select(F.col("doc_id").cast("long"), "text"), cut, PIECES + (", ids array<long>" if keep_ids else ""))
 
 
 def slots(counts: dict[int, int], max_tokens: int = MAX_TOKENS, max_documents: int = MAX_DOCUMENTS, max_attention: int = MAX_ATTENTION, weights=WEIGHTS, rule: str = "norm") -> pd.DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,6 +45,31 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, wherever the driver has it from."""
+    context = spark.sparkContext
+    if getattr(context, "_roadloom_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    if top.is_dir():
+        archive = Path(tempfile.mkdtemp()) / "roadloom-src.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(top.rglob("*.py")):
+                out.write(file, Path(top.name) / file.relative_to(top))
+        context.addPyFile(str(archive))
+    context._roadloom_shipped = True
+
+
+def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
+def map_groups(df: DataFrame, keys: Sequence[str], function: Callable, schema) -> DataFrame:
+    ship(df.sparkSession)
+    return df.groupBy(*keys).applyInPandas(function, schema)
+
+
 def table_bytes(df: DataFrame) -> int:
     """Bytes on disk of a table that written() gave."""
     spark, total = df.sparkSession, 0
