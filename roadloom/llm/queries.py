@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality_gbt, toxicity
+from . import mixing, near_dedup, packing, quality_gbt, toxicity
 from .shared import read_table
 
 
@@ -22,6 +22,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op5_mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.op8_near_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op10_pack_sequences(read_table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality,
         "op4_toxicity": op4_toxicity,
         "op5_mix_sources": op5_mix_sources,
+        "op8_near_dedup": op8_near_dedup,
         "op10_pack_sequences": op10_pack_sequences,
     }
 
