@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dedup, packing, quality_gbt, toxicity
+from . import mixing, near_dedup, packing, quality_gbt, secret_scan, toxicity
 from .shared import read_table
 
 
@@ -22,6 +22,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op5_mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.op7_secret_scan(read_table(spark, sf_dir, "documents"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.op8_near_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -35,10 +39,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality,
         "op4_toxicity": op4_toxicity,
         "op5_mix_sources": op5_mix_sources,
+        "op7_secret_scan": op7_secret_scan,
         "op8_near_dedup": op8_near_dedup,
         "op10_pack_sequences": op10_pack_sequences,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": mixing.ORACLE}
+    return {"op5_mix_sources": mixing.ORACLE, "op7_secret_scan": secret_scan.oracle()}
