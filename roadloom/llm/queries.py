@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dedup, packing, quality_gbt, secret_scan, toxicity
+from . import line_rules, mixing, near_dedup, packing, quality_gbt, secret_scan, toxicity
 from .shared import read_table
 
 
@@ -30,6 +30,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.op8_near_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.op9_line_rules(read_table(spark, sf_dir, "documents"))
+
+
 def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op10_pack_sequences(read_table(spark, sf_dir, "documents"))
 
@@ -41,9 +45,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mix_sources": op5_mix_sources,
         "op7_secret_scan": op7_secret_scan,
         "op8_near_dedup": op8_near_dedup,
+        "op9_line_rules": op9_line_rules,
         "op10_pack_sequences": op10_pack_sequences,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": mixing.ORACLE, "op7_secret_scan": secret_scan.oracle()}
+    return {"op5_mix_sources": mixing.ORACLE, "op7_secret_scan": secret_scan.oracle(), "op9_line_rules": line_rules.ORACLE}
