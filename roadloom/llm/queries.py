@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_rules, mixing, near_dedup, packing, quality_gbt, secret_scan, toxicity
+from . import fingerprints, line_rules, mixing, near_dedup, packing, quality_gbt, secret_scan, toxicity
 from .shared import read_table
 
 
@@ -14,6 +14,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbt.op1_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.op2_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op4_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -41,6 +45,7 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_fingerprints": op2_fingerprints,
         "op4_toxicity": op4_toxicity,
         "op5_mix_sources": op5_mix_sources,
         "op7_secret_scan": op7_secret_scan,
