@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, line_rules, mixing, near_dedup, packing, quality_gbt, secret_scan, toxicity
+from . import fingerprints, html_wrappers, line_rules, mixing, near_dedup, packing, quality_gbt, secret_scan, toxicity
 from .shared import read_table
 
 
@@ -26,6 +26,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op5_mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.op6_main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.op7_secret_scan(read_table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_fingerprints": op2_fingerprints,
         "op4_toxicity": op4_toxicity,
         "op5_mix_sources": op5_mix_sources,
+        "op6_main_text": op6_main_text,
         "op7_secret_scan": op7_secret_scan,
         "op8_near_dedup": op8_near_dedup,
         "op9_line_rules": op9_line_rules,
