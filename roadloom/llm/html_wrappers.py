@@ -30,12 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_arrow, map_groups, table_bytes, written
+from .shared import map_arrow, map_groups, sized, written
 
 PAGES = 5
 AT_ONCE = 64
 HELD = 20_000
-BROADCAST_BYTES = 8 << 20
 WIDEST = 200
 LONGEST_TANDEM = 6
 
@@ -354,9 +353,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text of each row."""
-    found = wrappers(pages)
-    if table_bytes(found) <= BROADCAST_BYTES:
-        found = F.broadcast(found)
+    found = sized(wrappers(pages))
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"), host(F.col("url")).alias("host")).join(found, "host", "left").select("page_id", "url", "html", "pages", "wrapper")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

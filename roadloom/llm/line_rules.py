@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import key_of, let, table_bytes, with_text, words, written
+from .shared import key_of, let, sized, with_text, words, written
 
 SYMBOLS = r"[#*$%&|<>]"
 BLANK = r"[\x20\x09-\x0D]+"
@@ -26,7 +26,6 @@ LEAST_DOCS = 20
 SHARE = 0.01
 KEPT = 0.3
 PLACE_BITS = 20
-BROADCAST_BYTES = 8 << 20
 
 
 def repeated_words(found: Column) -> Column:
@@ -68,9 +67,7 @@ def boilerplate(rows: DataFrame, least_docs: int = LEAST_DOCS, share: float = SH
 
 def judged(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, share: float = SHARE, kept: float = KEPT) -> DataFrame:
     rows = measured(docs, host)
-    common = boilerplate(rows, least_docs, share)
-    if table_bytes(common) <= BROADCAST_BYTES:
-        common = F.broadcast(common)
+    common = sized(boilerplate(rows, least_docs, share))
     lines = rows.select("_row", "_host", F.explode("lines").alias("l")).select("_row", "_host", "l.line", "l.words")
     lost = lines.join(common, ["_host", "line"]).groupBy("_row").agg(F.sum("words").alias("n_removed_words"))
     out = rows.join(lost, "_row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))

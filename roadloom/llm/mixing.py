@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import key_of, n_buckets, n_words, prefix_within, with_text, written
+from .shared import key_of, n_buckets, n_words, prefix_within, sized, with_text, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -83,10 +83,11 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     named = docs.columns
     taken = mix(docs, **how).groupBy("_row").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_same"))
     taken = written(taken, "copies")
+    counts = sized(written(taken.filter("_copies > 0").select("_row", "_copies"), "counts"))
     rows = docs.withColumn("_row", row_key())
     if (taken.agg(F.max("_same")).first()[0] or 0) > 1:
         rows = rows.dropDuplicates(["_row"])
-    return rows.join(taken.filter("_copies > 0"), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*named)
+    return rows.join(counts, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*named)
 
 
 def op5_mix_sources(docs: DataFrame) -> DataFrame:

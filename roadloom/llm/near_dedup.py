@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .shared import map_arrow, with_text, written
+from .shared import map_arrow, sized, with_text, written
 
 SHINGLE = 5
 LIKENESS = 0.8
@@ -189,7 +189,8 @@ def classes(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
     pairs = written(led.select(*pair).distinct(), "pairs")
     nearest = led.groupBy("node").agg(F.max_by("other", F.struct("score", -F.col("other"))).alias("other")).select(*pair).distinct()
     nearest = written(nearest, "nearest")
-    wanted = written(texts.join(pairs.select(F.explode(F.array("node", "other")).alias("node")).distinct(), "node", "left_semi"), "texts")
+    in_pairs = sized(written(pairs.select(F.explode(F.array("node", "other")).alias("node")).distinct(), "in-pairs"))
+    wanted = written(texts.join(in_pairs, "node", "left_semi"), "texts")
     again = ids.filter("doc_id <> node").select(F.col("doc_id").alias("node"), F.col("node").alias("other"))
     first = written(verified(nearest, wanted, likeness), "links")
     found = first.select("node", "other")
@@ -201,18 +202,21 @@ def classes(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
     links = first.union(second).groupBy("node", "other").agg(F.max("likeness").alias("likeness"))
     root = components(links.select("node", "other").union(again))
     degree = links.select(F.explode(F.array("node", "other")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    out = ids.join(degree, "node", "left").join(root, "node", "left").select("doc_id", F.coalesce("root", "node").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    linked = sized(written(root.join(degree, "node", "full"), "linked"))
+    out = ids.join(linked, "node", "left").select("doc_id", F.coalesce("root", "node").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
     none = rows.select("doc_id").filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("links"))
     return out.unionByName(none)
 
 
 def without_near_copies(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
     """The row of least id of each class, and rows with a null id; of rows that repeat an id, one."""
-    kept = written(classes(docs, likeness).filter("class_id = doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("many")).select(F.col("doc_id").alias("_kept"), "many"), "kept")
-    rows = docs.join(kept.select("_kept"), docs.doc_id == F.col("_kept"), "left_semi")
-    if not kept.filter("many > 1").isEmpty():
-        rows = rows.dropDuplicates(["doc_id"])
-    return rows.union(docs.filter("doc_id is null"))
+    found = classes(docs, likeness).filter("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("many"))
+    found = written(found, "kept")
+    gone = sized(written(found.filter("doc_id <> class_id").select("doc_id"), "gone"))
+    rows = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if found.filter("many > 1").isEmpty():
+        return rows
+    return rows.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(rows.filter("doc_id is null"))
 
 
 def op8_near_dedup(docs: DataFrame) -> DataFrame:

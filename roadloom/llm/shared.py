@@ -79,6 +79,11 @@ def table_bytes(df: DataFrame) -> int:
     return total
 
 
+def sized(table: DataFrame, most: int = 16 << 20) -> DataFrame:
+    """A written table with a broadcast hint if its files are that small; a larger one is joined by shuffle."""
+    return F.broadcast(table) if table_bytes(table) <= most else table
+
+
 def drop_written(spark: SparkSession | None = None) -> None:
     """Deletes the tables that written() has left; results that were not stored must not be read afterwards."""
     for session, path in [x for x in _written if spark is None or x[0] is spark]:
