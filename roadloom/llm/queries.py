@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_wrappers, line_rules, mixing, near_dedup, packing, quality_gbt, secret_scan, toxicity
+from . import fingerprints, html_wrappers, line_rules, lm_score, mixing, near_dedup, packing, quality_gbt, secret_scan, toxicity
 from .shared import read_table
 
 
@@ -18,6 +18,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.op2_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.op3_lm_score(read_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op4_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op2_fingerprints": op2_fingerprints,
+        "op3_lm_score": op3_lm_score,
         "op4_toxicity": op4_toxicity,
         "op5_mix_sources": op5_mix_sources,
         "op6_main_text": op6_main_text,
