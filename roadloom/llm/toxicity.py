@@ -36,9 +36,17 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass
 class Model:
-    weight: np.ndarray  # of each bucket, 0 for those left out
+    """Weights of the buckets that are kept, and the intercept; small, as it goes to every task."""
+
+    bucket: np.ndarray
+    weight: np.ndarray
     bias: float
 
+    def table(self) -> np.ndarray:
+        out = np.zeros(1 << BITS, np.float32)
+        out[self.bucket] = self.weight
+        return out
+
 
 def _letters(data: np.ndarray) -> np.ndarray:
     data = textnp.lower(data)
@@ -95,9 +103,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int)
 def fit(sample: DataFrame) -> Model:
     totals = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n, toxic = sum(totals.values()), totals.get(1, 0)
-    none = np.zeros(1 << BITS, np.float32)
+    none = np.zeros(0, np.int64)
     if toxic in (0, n):
-        return Model(none, 40.0 if n and toxic == n else -40.0)
+        return Model(none, none, 40.0 if n and toxic == n else -40.0)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros((2, 1 << BITS), np.int32)
@@ -117,26 +125,25 @@ def fit(sample: DataFrame) -> Model:
     beyond = F.abs(p - q) / F.sqrt(share * (F.lit(1.0) - share) * F.lit(1.0 / toxic + 1.0 / (n - toxic)) + F.lit(1e-12))
     top = per.filter(F.col("clean") + F.col("toxic") >= MIN_COUNT).withColumn("z", beyond).filter(F.col("z") >= CHANCE).orderBy(F.desc("z"), "bucket").limit(FEATURES).toPandas()
     if top.empty:
-        return Model(none, float(np.log(toxic / (n - toxic))))
+        return Model(none, none, float(np.log(toxic / (n - toxic))))
     ratio = np.log(((top.toxic + 1) / (toxic + 2)) / ((top.clean + 1) / (n - toxic + 2))).to_numpy(np.float64)
-    index = np.full(1 << BITS, -1, np.int32)
-    index[top.bucket.to_numpy()] = np.arange(len(top))
+    kept = top.bucket.to_numpy()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = np.full(1 << BITS, -1, np.int32)
+        index[kept] = np.arange(len(kept))
         for batch in batches:
             y = np.array(batch.column(1).to_pylist(), np.int64)
             for low, high, owner, bucket in _present(batch.column(0), index >= 0):
                 cuts = np.searchsorted(owner, np.arange(1, high - low))
-                yield pa.RecordBatch.from_arrays([pa.array(y[low:high]), pa.array([x.tolist() for x in np.split(index[bucket], cuts)], pa.list_(pa.int32()))], names=["y", "on"])
+                yield pa.RecordBatch.from_arrays([pa.array(y[low:high]), pa.array([x.tobytes() for x in np.split(index[bucket], cuts)], pa.binary())], names=["y", "on"])
 
-    rows = map_arrow(sample.select("text", "y"), features, "y long, on array<int>").toPandas()
+    rows = map_arrow(sample.select("text", "y"), features, "y long, on binary").toPandas()
     y = rows.y.to_numpy(np.float64)
-    sizes = np.array([len(x) for x in rows.on])
-    on = np.concatenate([np.asarray(x, np.int64) for x in rows.on]) if sizes.sum() else np.zeros(0, np.int64)
-    weight, bias = logistic(on, np.repeat(np.arange(len(y)), sizes), y, ratio)
-    out = none.copy()
-    out[top.bucket.to_numpy()] = weight * ratio
-    return Model(out, bias)
+    sizes = np.array([len(x) // 4 for x in rows.on])
+    on = np.frombuffer(b"".join(rows.on), np.int32)
+    weight, bias = logistic(on, np.repeat(np.arange(len(y), dtype=np.int32), sizes), y, ratio)
+    return Model(kept, (weight * ratio).astype(np.float32), bias)
 
 
 def logistic(on: np.ndarray, row: np.ndarray, y: np.ndarray, scale: np.ndarray, penalty: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, float]:
@@ -158,11 +165,12 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = model.weight != 0
+        weight = model.table()
+        wanted = weight != 0
         for batch in batches:
             z = np.full(batch.num_rows, model.bias)
             for low, high, owner, bucket in _present(batch.column(at), wanted):
-                z[low:high] += np.bincount(owner, model.weight[bucket], minlength=high - low)
+                z[low:high] += np.bincount(owner, weight[bucket], minlength=high - low)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=[*batch.schema.names, "score"])
 
     return map_arrow(docs, score, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
