@@ -52,7 +52,7 @@ def turn_relations(relations: DataFrame, vehicle: str | None = None) -> DataFram
     rule = F.coalesce(F.nullif(t["restriction"], F.lit("")), F.when(F.lit(vehicle == "hgv"), F.nullif(t["restriction:hgv"], F.lit(""))))
     rows = relations.filter(t["type"] == "restriction").withColumn("_rule", rule).filter("_rule is not null")
     if vehicle:
-        spared = F.transform(F.split(t["except"], ";"), F.trim)
+        spared = F.transform(F.split(t["except"], ";"), lambda x: F.trim(x))
         rows = rows.filter(~F.array_contains(spared, vehicle) & ~(F.array_contains(spared, "psv") & F.lit(vehicle == "bus")))
     role = lambda r, kind: F.transform(F.filter("members", lambda m: (m["role"] == r) & (m["type"] == kind)), lambda m: m["ref"])
     kind = F.when(F.col("_rule").startswith("no_"), "no").when(F.col("_rule").startswith("only_"), "only")

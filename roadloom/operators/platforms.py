@@ -12,7 +12,7 @@ NAME_TAGS = ("ref", "ref:IFOPT", "ref:operator", "ref_name", "local_ref", "name"
 def names(tags: Column) -> Column:
     """All names, split at semicolons, without blanks."""
     parts = F.flatten(F.array(*[F.split(F.coalesce(F.try_element_at(tags, F.lit(t)), F.lit("")), ";") for t in NAME_TAGS]))
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def platforms(objects: DataFrame) -> DataFrame:
