@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import key_of, n_buckets, n_words, prefix_within, sized, with_text, written
+from .shared import key_of, n_buckets, n_words, prefix_within, shielded, sized, with_text, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -80,14 +80,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, each as often as the mix takes it. Rows that agree in id, text and source share their copies."""
-    named = docs.columns
+    docs, restored = shielded(docs, ("doc_id", "text", "source"))
     taken = mix(docs, **how).groupBy("_row").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_same"))
     taken = written(taken, "copies")
     counts = sized(written(taken.filter("_copies > 0").select("_row", "_copies"), "counts"))
     rows = docs.withColumn("_row", row_key())
     if (taken.agg(F.max("_same")).first()[0] or 0) > 1:
         rows = rows.dropDuplicates(["_row"])
-    return rows.join(counts, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*named)
+    return restored(rows.join(counts, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))))
 
 
 def op5_mix_sources(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import key_of, let, with_text, written
+from .shared import key_of, let, shielded, with_text, written
 
 #: Fixed by the contract.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -138,6 +138,7 @@ def op7_secret_scan(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, owner: str = "source") -> DataFrame:
     """docs with every secret's value replaced: live ones and copied examples by a mark of their own. Texts without any
     candidate pass untouched and unshuffled. n_chars, if there, is counted anew where a text has changed."""
+    docs, restored = shielded(docs, ("doc_id", "text", owner, "n_chars"))
     scanned = scan(docs, owner)
     sets = judged(scanned).select("_key", "examples", "live", "rare")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -166,7 +167,7 @@ def redacted(docs: DataFrame, owner: str = "source") -> DataFrame:
         rows = rows.withColumn("text", rebuilt(F.col("text"), pattern, change))
     if "n_chars" in named:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return marked.filter("not _suspect").select(*named).unionByName(rows.select(*named))
+    return restored(marked.filter("not _suspect").select(*named).unionByName(rows.select(*named)))
 
 
 _POSITIONS = """list_transform(range(1, len({h}) + 1), lambda i: {{'start': list_sum(list_transform({g}[1:i], lambda x: length(x)))::bigint + coalesce(list_sum(list_transform({h}[1:i - 1], lambda x: length(x)))::bigint, 0), 'hit': {h}[i]}})"""

@@ -116,6 +116,12 @@ def with_text(docs: DataFrame, col: str = "text") -> DataFrame:
     return docs.withColumn(col, F.coalesce(F.col(col), F.lit("")))
 
 
+def shielded(rows: DataFrame, needed: Sequence[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """rows with all columns but the needed ones renamed, so that no name can clash, and what gives the names back."""
+    inner = {c: c if c in needed else f"_other{i}" for i, c in enumerate(rows.columns)}
+    return rows.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()]), lambda df: df.select(*[F.col(n).alias(c) for c, n in inner.items()])
+
+
 def key_of(col: str) -> Column:
     """A string that never is null and tells null from every value: join and partition keys compare plainly."""
     return F.coalesce(F.concat(F.lit("="), F.col(col).cast("string")), F.lit("-"))
