@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bearing, distance_m, quantized_angle, turn_angle
-from ..plans.tables import drop, kept, sized
+from ..plans.tables import drop, kept
 
 
 def node_use_count(way_nodes: DataFrame, blocking: DataFrame | None = None) -> DataFrame:
@@ -88,19 +88,27 @@ def way_positions(passes: DataFrame) -> DataFrame:
     return passes.groupBy("node", "way").agg(F.min("way_pos").alias("way_pos"))
 
 
+#: Steps from node to way that a round of components() takes before its labels are written.
+HOPS = 3
+
+
 def components(way_nodes: DataFrame) -> DataFrame:
     """way, component: the least way of each connected component. Ways take the least label of their nodes, nodes of their
     ways, and labels jump to their label's label, so rounds grow with the logarithm of the span."""
     pairs = kept(way_nodes.select("way", "node").distinct(), "pairs")
     labels = kept(pairs.select("way").distinct().withColumn("component", F.col("way")), "labels")
     while True:
-        at_node = pairs.join(sized(labels), "way").groupBy("node").agg(F.min("component").alias("low"))
-        lower = kept(pairs.join(at_node, "node").groupBy("way").agg(F.min("low").alias("low")), "lower")
-        jump = lower.select(F.col("way").alias("low"), F.col("low").alias("lowest"))
-        new = kept(lower.join(jump, "low", "left").select("way", F.least("low", F.coalesce("lowest", "low")).alias("component")), "labels")
-        moved = not new.join(labels.withColumnRenamed("component", "before"), "way").filter("component <> before").isEmpty()
+        hop = labels
+        for _ in range(HOPS):
+            at_node = pairs.join(hop, "way").groupBy("node").agg(F.min("component").alias("low"))
+            hop = pairs.join(at_node, "node").groupBy("way").agg(F.min("low").alias("component"))
+        lower = kept(hop, "lower")
+        jump = lower.select(F.col("way").alias("component"), F.col("component").alias("lowest"))
+        new = lower.join(jump, "component", "left").select("way", F.least("component", F.coalesce("lowest", "component")).alias("component"))
+        new = kept(new.join(labels.withColumnRenamed("component", "before"), "way").withColumn("moved", F.col("component") != F.col("before")), "labels")
+        moved = not new.filter("moved").isEmpty()
         drop(labels)
         drop(lower)
-        labels = new
+        labels = new.select("way", "component")
         if not moved:
             return labels

@@ -25,29 +25,38 @@ def without(edges: DataFrame, blocked: DataFrame) -> DataFrame:
 
 
 def search(edges: DataFrame, starts: DataFrame, max_cost: int | None = None, bound: Column | None = None) -> DataFrame:
-    """query, state, cost, pred: the least cost of every state within reach, and the state before it (itself at starts).
+    """query, state, cost: the least cost of every state within reach.
 
     edges: src, dst, cost. starts: query, state, cost. Only costs below max_cost are kept. bound, over state and cost, drops
-    labels that cannot matter, as a goal-directed search does. Ties go to the least predecessor."""
+    labels that cannot matter, as a goal-directed search does. A round is one join and one hash aggregate over plain numbers;
+    which state stands before another is told afterwards, by predecessors()."""
     steps = sized(kept(edges.groupBy("src", "dst").agg(F.min("cost").alias("step")), "edges"))
     reach = lambda rows: rows.filter(F.col("cost") < max_cost) if max_cost is not None else rows
     keep = lambda rows: reach(rows).filter(bound) if bound is not None else reach(rows)
     first = keep(starts.groupBy("query", "state").agg(F.min("cost").cast("long").alias("cost")))
-    best = kept(first.select("query", "state", "cost", F.col("state").alias("pred"), F.lit(True).alias("moved")), "labels")
+    best = kept(first.withColumn("moved", F.lit(True)), "labels")
     while True:
         frontier = best.filter("moved")
         if frontier.isEmpty():
             return best.drop("moved")
-        found = frontier.join(steps, frontier.state == steps.src).select("query", F.col("dst").alias("state"), (F.col("cost") + F.col("step")).alias("cost"), F.col("state").alias("pred"))
-        both = keep(found).withColumn("moved", F.lit(True)).unionByName(best.withColumn("moved", F.lit(False)))
-        # at equal cost the settled label stays
-        least = F.min_by(F.struct("pred", "moved"), F.struct("cost", "moved", "pred"))
-        new = both.groupBy("query", "state").agg(F.min("cost").alias("cost"), least.alias("l")).select("query", "state", "cost", "l.pred", "l.moved")
-        new = kept(new, "labels")
+        found = frontier.join(steps, frontier.state == steps.src).select("query", F.col("dst").alias("state"), (F.col("cost") + F.col("step")).alias("cost"), F.lit(None).cast("long").alias("known"))
+        both = keep(found).union(best.select("query", "state", "cost", F.col("cost").alias("known")))
+        new = both.groupBy("query", "state").agg(F.min("cost").alias("cost"), F.min("known").alias("known"))
+        new = kept(new.select("query", "state", "cost", (F.col("known").isNull() | (F.col("cost") < F.col("known"))).alias("moved")), "labels")
         drop(best)
         best = new
 
 
+def predecessors(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels with pred: of the states from which an edge leads here at the very cost, the one of least cost, then least id; the
+    state itself where the search began."""
+    steps = edges.groupBy("src", "dst").agg(F.min("cost").alias("step"))
+    came = labels.select("query", F.col("state").alias("src"), F.col("cost").alias("before")).join(steps, "src")
+    came = came.select("query", F.col("dst").alias("state"), (F.col("before") + F.col("step")).alias("cost"), F.struct("before", "src").alias("came")).filter("came.before < cost")
+    pred = came.join(labels, ["query", "state", "cost"]).groupBy("query", "state").agg(F.min("came")["src"].alias("pred"))
+    return labels.join(pred, ["query", "state"], "left").withColumn("pred", F.coalesce("pred", "state"))
+
+
 def node_states(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "cost")
 

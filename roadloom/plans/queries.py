@@ -201,22 +201,22 @@ _FOOT = _cost_sql("foot") + ", moves as (select src, dst, cost from priced)"
 
 @query("sssp_foot", _search_sql(_FOOT, _FIRST) + " select query, state, cost from r")
 def _(n):
-    return search.search(search.node_states(_priced(n, costs.foot())), _starts(n, "")).drop("pred")
+    return search.search(search.node_states(_priced(n, costs.foot())), _starts(n, ""))
 
 
 @query("sssp_bike_backward", _search_sql(_cost_sql("bike") + ", moves as (select dst as src, src as dst, cost from priced)", _FIRST) + " select query, state, cost from r")
 def _(n):
-    return search.search(search.reverse(search.node_states(_priced(n, costs.bike()))), _starts(n, "")).drop("pred")
+    return search.search(search.reverse(search.node_states(_priced(n, costs.bike()))), _starts(n, ""))
 
 
 @query("sssp_blocked", _search_sql(_cost_sql("foot") + ", moves as (select src, dst, cost from priced where dst % 4 <> 1)", _FIRST) + " select query, state, cost from r")
 def _(n):
-    return search.search(search.without(search.node_states(_priced(n, costs.foot())), n.nodes.filter("node % 4 = 1")), _starts(n, "")).drop("pred")
+    return search.search(search.without(search.node_states(_priced(n, costs.foot())), n.nodes.filter("node % 4 = 1")), _starts(n, ""))
 
 
 @query("sssp_bounded", _search_sql(_FOOT, _MANY, bound="and r.cost + s.cost < 30") + " select query, state, cost from r")
 def _(n):
-    return search.search(search.node_states(_priced(n, costs.foot())), _starts(n, "node % 500 = 0"), max_cost=30).drop("pred")
+    return search.search(search.node_states(_priced(n, costs.foot())), _starts(n, "node % 500 = 0"), max_cost=30)
 
 
 @query("one_to_many", _search_sql(_FOOT, _MANY) + " select query, state as node, cost from r where state % 3 = 0")
@@ -309,6 +309,7 @@ _PATH = _search_sql(_FOOT, _MANY)
 def _(n):
     priced = _kept(_priced(n, costs.foot()))
     labels = search.search(search.node_states(priced), _starts(n, "node % 500 = 0"))
+    labels = _kept(search.predecessors(labels, priced))
     targets = labels.filter("state % 100 = 3 and state <> query").select("query", F.col("state").alias("node"))
     found = paths.totals(paths.segments(paths.chain(labels, targets), priced))
     return found.select("query", "target", "cost")
@@ -318,6 +319,7 @@ def _(n):
 def _(n):
     priced = _kept(_priced(n, costs.foot()))
     labels = search.search(search.node_states(priced), _starts(n, "node % 500 = 0"))
+    labels = _kept(search.predecessors(labels, priced))
     targets = labels.filter("state % 100 = 3 and state <> query").select("query", F.col("state").alias("node"))
     return paths.geojson(paths.segments(paths.chain(labels, targets), priced), n.nodes)
 
