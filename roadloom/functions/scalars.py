@@ -73,7 +73,7 @@ def to_integer(value: Column, most: int, factor: float = 1.0) -> Column:
 def level_code(level: Column) -> Column:
     """0 is no level; other codes are quarter steps from -8, truncated."""
     inside = F.least(F.greatest(level, F.lit(MIN_LEVEL)), F.lit(MIN_LEVEL + LEVEL_STEP * (LEVELS - 1)))
-    return F.coalesce(((inside - MIN_LEVEL) / LEVEL_STEP + 1).cast("int"), F.lit(0))
+    return F.when(level.isNull(), 0).otherwise(((inside - MIN_LEVEL) / LEVEL_STEP + 1).cast("int"))
 
 
 def level_value(code: Column) -> Column:
