@@ -93,7 +93,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     """For each document: id, _text (a hash), code points, sketch and the same of the document before it, in a circle. Only
     ids, lengths and sketches move: they are dealt out by ranges of the id, written with the number of the range, ordered
     within each range, and the ends of ranges, one row a range, meet to bridge them."""
-    rows = with_sketch(docs, "text", "sketch").select("id", "_text", F.length("text").cast("long").alias("n"), "sketch")
+    rows = written(with_sketch(docs, "text", "sketch").select("id", "_text", F.length("text").cast("long").alias("n"), "sketch"), "sketches")
     ranged = rows.repartitionByRange("id", "_text").withColumn("_range", F.spark_partition_id())
     ranged = written(ranged, "ranges").dropDuplicates(["_range", "id", "_text"])
     one = F.struct("id", "_text", "n", "sketch")
@@ -106,16 +106,17 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
 def op2_fingerprints(docs: DataFrame) -> DataFrame:
     """Of each text and of the text with its second half replaced by the start of the next document. Texts are dealt out
-    once, by id; of the next document only the part that is used follows to its predecessor."""
+    once, by id (both joins ask for the same columns, so they share the exchange); of the next document only the part that
+    is used follows to its predecessor."""
     least = -(1 << 63)
     rows = with_text(docs).select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("id"), F.xxhash64("text").alias("_text"))
     links = neighbours(rows)
     half = F.floor(F.col("before.n") / 2).cast("int")
-    nexts = rows.join(links, ["id", "_text"]).select(F.col("before.id").alias("id"), F.col("before._text").alias("_text"), F.substring(F.col("text"), F.lit(1), half).alias("part"), F.col("before.sketch").alias("sketch"), likeness(F.col("before.sketch"), F.col("sketch")).alias("near_next"))
+    nexts = rows.join(links, ["id", "_text"]).select(F.col("before.id").alias("id"), F.col("before._text").alias("_text"), F.substring(F.col("text"), F.lit(1), half).alias("part"), F.col("before.sketch").alias("sketch"), likeness(F.col("before.sketch"), F.col("sketch")).alias("near_next"), F.col("doc_id").alias("next_id"))
     if rows.count() > links.count():  # repeated rows
         nexts = nexts.dropDuplicates(["id", "_text"])
     n = F.length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 2).cast("int")), F.col("part"))
-    out = rows.join(nexts, ["id", "_text"]).select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sketch", "near_next")
+    out = rows.join(nexts, ["id", "_text"]).select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sketch", "near_next", "next_id")
     out = with_sketch(out, "edited", "other")
-    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), packed(F.col("sketch")).alias("fingerprint"), packed(F.col("other")).alias("edited_fingerprint"), likeness(F.col("sketch"), F.col("other")).alias("near_edited"), "near_next")
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), packed(F.col("sketch")).alias("fingerprint"), packed(F.col("other")).alias("edited_fingerprint"), likeness(F.col("sketch"), F.col("other")).alias("near_edited"), "near_next", "next_id")
