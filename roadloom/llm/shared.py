@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: A word, as the contracts spell it: a run of anything but space and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+BATCH = 2000
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -61,8 +63,21 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
-    ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    """mapInArrow in batches of BATCH rows (unless the session names a number of its own), so that a worker's memory follows
+    a few megabytes of text; what a batch has used is given back before the next."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+    def run(batches):
+        from roadloom.llm.textnp import release
+
+        for out in function(batches):
+            yield out
+            release()
+
+    return df.mapInArrow(run, schema)
 
 
 def map_groups(df: DataFrame, keys: Sequence[str], function: Callable, schema) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[begins[0] : begins[-1]], begins - begins[0]
 
 
-def chunks(begins: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(begins: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about that many bytes in all; a longer text is alone."""
     low = 0
     while low < len(begins) - 1:
@@ -35,6 +36,15 @@ def chunks(begins: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]
         low = high
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a worker lives on, and stays as large as its largest batch otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return
+
+
 def lower(data: np.ndarray) -> np.ndarray:
     """ASCII and Latin-1 letters in lower case."""
     out = _LOWER[data]

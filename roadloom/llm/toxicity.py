@@ -73,24 +73,19 @@ def gram_buckets(data: np.ndarray, begins: np.ndarray) -> Iterator[tuple[np.ndar
             yield owner[: len(run)][own], bucket[own].astype(np.int64)
 
 
-def _distinct(owner: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    both = np.unique(owner.astype(np.int64) << BITS | bucket)
-    return both >> BITS, both & ((1 << BITS) - 1)
-
-
 def _present(column: pa.Array, wanted: np.ndarray | None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For each chunk of texts: its range, then text and bucket of each distinct n-gram with wanted[bucket]."""
     data, begins = textnp.text_bytes(column)
     for low, high in textnp.chunks(begins):
         own = begins[low : high + 1] - begins[low]
-        owners, buckets = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        found = [np.zeros(0, np.int64)]
         for owner, bucket in gram_buckets(data[begins[low] : begins[high]], own):
             if wanted is not None:
                 hit = wanted[bucket]
                 owner, bucket = owner[hit], bucket[hit]
-            owners.append(owner)
-            buckets.append(bucket)
-        yield low, high, *_distinct(np.concatenate(owners), np.concatenate(buckets))
+            found.append(np.unique(owner.astype(np.int64) << BITS | bucket))
+        both = np.unique(np.concatenate(found))
+        yield low, high, both >> BITS, both & ((1 << BITS) - 1)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
@@ -147,22 +142,27 @@ def fit(sample: DataFrame) -> Model:
 
 
 def logistic(on: np.ndarray, row: np.ndarray, y: np.ndarray, scale: np.ndarray, penalty: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights of scaled binary features, by Adam over all rows."""
+    """Weights of scaled binary features, by Adam over all rows; features are taken in slices, so no copy of them is made."""
     w, b = np.zeros(len(scale)), float(np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9)))
     m, v = np.zeros(len(scale) + 1), np.zeros(len(scale) + 1)
+    cuts = range(0, len(on), 1 << 19)
     for t in range(1, steps + 1):
-        z = b + np.bincount(row, (w * scale)[on], minlength=len(y))
+        z, scaled, pull = np.full(len(y), b), w * scale, np.zeros(len(scale))
+        for k in cuts:
+            z += np.bincount(row[k : k + (1 << 19)], scaled[on[k : k + (1 << 19)]], minlength=len(y))
         miss = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
-        g = np.append(np.bincount(on, miss[row], minlength=len(scale)) * scale + penalty * w, miss.sum())
+        for k in cuts:
+            pull += np.bincount(on[k : k + (1 << 19)], miss[row[k : k + (1 << 19)]], minlength=len(scale))
+        g = np.append(pull * scale + penalty * w, miss.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
     return w, b
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
+def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with a column score."""
-    at = docs.columns.index("text")
+    at = docs.columns.index(text)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = model.table()
@@ -185,6 +185,6 @@ def op4_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Da
 def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: float = 0.5) -> DataFrame:
     """The rows of docs that score below the limit, unchanged; a text that is null stays null."""
     model = fit(labelled_sample(docs, labels, "toxic", sample))
-    plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col("text"))
-    kept = scored(plain, model).filter(F.col("score") < limit)
-    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    kept = scored(docs.toDF(*names), model, names[docs.columns.index("text")]).filter(F.col("score") < limit)
+    return kept.select(*names).toDF(*docs.columns)
