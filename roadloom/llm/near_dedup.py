@@ -5,12 +5,17 @@ are distinct. A sketch takes, for each of many hash functions, the ELL labelled
 the order in which they stand in the text; two texts agree on one with a likelihood that falls with their edit distance,
 not only with the k-mers they share. ROWS sketches make a band, and texts that agree on a band are candidates.
 
-A band's group is never expanded into pairs. Each member is a candidate of three leaders of its group: the most central
+Links are found in three passes; the first two are quick and join nearly all that belongs together, the third is exact.
+First each member of a band's group is a candidate of three leaders of its group: the most central
 one, one drawn in proportion to centrality (another in each band), and the least id. Central is a text whose groups are
 large: of many edited copies that are near to their original but not to one another, the original. Texts that are copies
-of one another are one node from the start. Links are verified in two rounds. First each node goes to its most central
-leader of all bands; then every pair of a node and one of its leaders that still lie in different classes is verified, so
-the classes are those of the graph of all these pairs. No group, partner or candidate is capped.
+of one another are one node from the start. First each node goes to its most central leader of all bands; then every pair
+of a node and one of its leaders that still lie in different classes is verified. Last, every other pair of one group whose
+nodes still lie in different classes is decided, so the classes are those of the graph of all pairs that share a band. No
+group, partner or candidate is capped. Groups of one class are done by then. Small groups give their pairs; of a larger group
+the nodes are dealt to blocks, those of a large class by themselves, and a task decides a pair of blocks: it counts the k-mers
+that two texts share, by products of matrices, and aligns those that share enough. Its work grows with the pairs of different
+classes that a group holds, its memory does not.
 
 Verification aligns the two texts: the longest common subsequence of their labelled k-mers within the band of diagonals
 that an alignment of the wanted likeness cannot leave. As labelled k-mers are distinct, that is the longest increasing
@@ -28,18 +33,22 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .shared import map_arrow, sized, with_text, written
+from .shared import map_arrow, map_groups, sized, with_text, written
 
 SHINGLE = 5
 LIKENESS = 0.8
 ELL = 2
 ROWS = 2
 BANDS = 24
+SMALL = 16  # members of a group that gives its pairs
+BLOCK = 128  # texts, and k-mers, of a block of a larger group, on average
+BLOCK_KMERS = 1 << 19
 _SEEDS = textnp.mixed(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
@@ -119,14 +128,15 @@ def aligned(a: np.ndarray, b: np.ndarray, likeness: float = LIKENESS) -> float:
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """node, keys: the band keys of each text."""
+    """node, size, keys: how many k-mers each text has, and its band keys."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [band_keys(kmers(w)).tolist() if len(w) else [0] * BANDS for w in texts_words(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
+            marks = [kmers(w) for w in texts_words(batch.column(1))]
+            keys = [band_keys(m).tolist() if len(m) else [0] * BANDS for m in marks]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(m) for m in marks], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "size", "keys"])
 
-    return map_arrow(texts.select("node", "text"), sketch, "node long, keys array<long>")
+    return map_arrow(texts.select("node", "text"), sketch, "node long, size long, keys array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, likeness: float) -> DataFrame:
@@ -142,6 +152,87 @@ def verified(pairs: DataFrame, texts: DataFrame, likeness: float) -> DataFrame:
     return map_arrow(both, verify, "node long, other long, likeness double").filter("likeness > 0")
 
 
+def shared_kmers(marks: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """How many labelled k-mers each two texts share."""
+    text = np.repeat(np.arange(len(marks)), [len(m) for m in marks])
+    _, column, many = np.unique(np.concatenate(marks), return_inverse=True, return_counts=True)
+    text, column = text[many[column] > 1], column[many[column] > 1]
+    order = np.argsort(column, kind="stable")
+    text, column = text[order], column[order]
+    column = np.cumsum(np.append(0, column[1:] != column[:-1])) if len(column) else column
+    out = np.zeros((len(marks), len(marks)))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [low, low + width])
+        held = np.zeros((len(marks), width), np.float32)
+        held[text[a:b], column[a:b] - low] = 1
+        out += held @ held.T
+    return out
+
+
+def block_links(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, marks: list[np.ndarray], likeness: float) -> list[tuple[int, int, float]]:
+    """The links between texts of two sides (of one, if there is one) that lie in different classes; two that have come
+    into one class by an earlier link are not aligned."""
+    sizes = np.array([len(m) for m in marks])
+    enough = shared_kmers(marks) >= likeness * (sizes[:, None] + sizes[None, :]) / (1 + likeness) - 1e-9
+    ahead = sides[:, None] < sides[None, :] if sides.any() else np.arange(len(nodes))[:, None] < np.arange(len(nodes))[None, :]
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in np.argwhere(enough & ahead & (roots[:, None] != roots[None, :])).tolist():
+        a, b = top(int(roots[i])), top(int(roots[j]))
+        if a != b and (found := aligned(marks[i], marks[j], likeness)) > 0:
+            parent[max(a, b)] = min(a, b)
+            out.append((int(max(nodes[i], nodes[j])), int(min(nodes[i], nodes[j])), found))
+    return out
+
+
+def remaining(members: DataFrame, root: DataFrame, held: DataFrame, texts: DataFrame, likeness: float) -> DataFrame:
+    """The links (node, other, likeness) between members of one group that lie in different classes and were not held
+    against each other; written."""
+    rows = written(members.join(root, "node", "left").select("band", "key", "many", "node", "size", F.coalesce("root", "node").alias("root")), "rooted")
+    mixed = rows.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band", "key")
+    rows = written(rows.join(sized(written(mixed, "mixed")), ["band", "key"]), "open")
+    few = rows.filter(F.col("many") <= SMALL).select("band", "key", "node", "size", "root")
+    named = few.select("band", "key", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("other_root"))
+    alike = F.least("size", "other_size") >= F.greatest("size", "other_size") * F.lit(likeness) - 1e-6
+    pairs = few.join(named, ["band", "key"]).filter((F.col("node") > F.col("other")) & (F.col("root") != F.col("other_root")) & alike)
+    pairs = written(pairs.select("node", "other").distinct().join(held, ["node", "other"], "left_anti"), "pairs")
+    links = verified(pairs, texts, likeness)
+    large = rows.filter(F.col("many") > SMALL)
+    if large.isEmpty():
+        return written(links, "links")
+    parts = F.greatest(F.ceil(F.col("texts") / BLOCK), F.ceil(F.col("kmers") / BLOCK_KMERS))
+    by_root = written(large.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("texts"), F.sum("size").alias("kmers")), "by-root")
+    is_big = (F.col("texts") > BLOCK // 2) | (F.col("kmers") > BLOCK_KMERS // 2)
+    big = sized(written(by_root.filter(is_big).select("band", "key", "root", parts.alias("own_parts")), "big"))
+    rest = by_root.filter(~is_big).groupBy("band", "key").agg(F.sum("texts").alias("texts"), F.sum("kmers").alias("kmers"))
+    rest = sized(written(rest.select("band", "key", parts.alias("parts")), "rest"))
+    dealt = large.join(big, ["band", "key", "root"], "left").join(rest, ["band", "key"], "left")
+    owner = F.when(F.col("own_parts").isNotNull(), F.col("root").cast("string")).otherwise("")
+    bucket = F.pmod(F.xxhash64("node", F.lit(1)), F.coalesce("own_parts", "parts"))
+    dealt = written(dealt.select("band", "key", "node", "root", owner.alias("owner"), F.concat(owner, F.lit(":"), bucket.cast("string")).alias("block")), "dealt")
+    blocks = written(dealt.select("band", "key", "owner", "block").distinct(), "blocks")
+    second = blocks.select("band", "key", F.col("owner").alias("second_owner"), F.col("block").alias("second"))
+    tasks = blocks.withColumnRenamed("block", "first").join(second, ["band", "key"]).filter("first <= second and (owner = '' or owner <> second_owner)")
+    tasks = sized(written(tasks.select("band", "key", "first", "second"), "tasks"))
+    sides = [dealt.withColumnRenamed("block", name).join(tasks, ["band", "key", name]) for name in ("first", "second")]
+    sides = [side.select("band", "key", "first", "second", "node", "root", F.lit(k).alias("side")) for k, side in enumerate([sides[0], sides[1].filter("first <> second")])]
+    whole = written(sides[0].union(sides[1]), "sides").join(texts.select("node", "text"), "node")
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["side", "node"])
+        marks = [kmers(w) for w in texts_words(pa.array(pdf.text, pa.string()))]
+        found = block_links(pdf.node.to_numpy(), pdf.root.to_numpy(), pdf.side.to_numpy(), marks, likeness)
+        return pd.DataFrame(found, columns=["node", "other", "likeness"])
+
+    return written(links.union(map_groups(whole, ["band", "key", "first", "second"], decide, "node long, other long, likeness double")), "links")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root: for every node of the links the least node it is linked to, over any number of steps. Each round turns
     the links of a node towards its least neighbour and halves the depth; the tables shrink to stars."""
@@ -174,7 +265,7 @@ def classes(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
     nodes = ids.filter("doc_id = node").select("node").distinct()
     texts = known.withColumnRenamed("doc_id", "node")
     keyed = written(sketches(texts).join(nodes, "node", "left_semi"), "sketches")
-    bands = keyed.select("node", F.posexplode("keys").alias("band", "key"))
+    bands = keyed.select("node", "size", F.posexplode("keys").alias("band", "key"))
     shared = written(bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), "groups")
     members = written(bands.join(shared, ["band", "key"]), "members")
     central = written(members.groupBy("node").agg(F.sum("many").alias("score")), "scores")
@@ -199,8 +290,13 @@ def classes(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
     apart = pairs.join(nearest, ["node", "other"], "left_anti").join(to("node"), "node", "left").join(to("other"), "other", "left")
     apart = apart.filter(F.coalesce("node_root", "node") != F.coalesce("other_root", "other")).select("node", "other")
     second = written(verified(apart, wanted, likeness), "links")
-    links = first.union(second).groupBy("node", "other").agg(F.max("likeness").alias("likeness"))
-    root = components(links.select("node", "other").union(again))
+    links = first.union(second)
+    root = written(components(links.select("node", "other").union(again)), "roots")
+    third = remaining(members, root, pairs, wanted, likeness)
+    if not third.isEmpty():
+        links = links.union(third)
+        root = components(root.select("node", F.col("root").alias("other")).union(third.select("node", "other")))
+    links = links.groupBy("node", "other").agg(F.max("likeness").alias("likeness"))
     degree = links.select(F.explode(F.array("node", "other")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     linked = sized(written(root.join(degree, "node", "full"), "linked"))
     out = ids.join(linked, "node", "left").select("doc_id", F.coalesce("root", "node").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))

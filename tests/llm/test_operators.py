@@ -126,6 +126,32 @@ class TestNearCopies:
                     root[y] = x
         assert got == {d: find(d) for d in marks}
 
+    def test_form_letters(self, spark):
+        """Texts of one frame with 12 slots of 4 values: two that differ in k slots have likeness (196 - 5k) / (196 + 5k)."""
+        slots = np.random.default_rng(5).integers(0, 4, (1000, 12))
+        text = lambda v: " ".join(f"slot{i // 16}is{v[i // 16]}" if i % 16 == 8 and i < 192 else f"frame{i}" for i in range(200))
+        docs = spark.createDataFrame([(i, text(v)) for i, v in enumerate(slots)], "doc_id long, text string")
+        root = list(range(len(slots)))
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i, v in enumerate(slots):
+            for j in np.flatnonzero((slots[:i] != v).sum(axis=1) <= 4):
+                a, b = sorted((top(i), top(int(j))))
+                root[b] = a
+        want = {i: top(i) for i in range(len(root))}
+        assert {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()} == want
+
+    def test_shared_kmers(self):
+        rng = np.random.default_rng(2)
+        marks = [np.unique(rng.integers(0, 60, n)).astype(np.uint64) for n in (30, 0, 12, 50)]
+        want = [[len(np.intersect1d(a, b)) for b in marks] for a in marks]
+        got = near_dedup.shared_kmers(marks, 7)
+        assert all(got[i, j] == want[i][j] for i in range(4) for j in range(4) if i != j)
+
     def test_odd_rows(self, documents):
         got = near_dedup.op8_near_dedup(documents).toPandas()
         by = dict(zip(got.doc_id, got.class_id, strict=True))
