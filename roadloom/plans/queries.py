@@ -396,12 +396,12 @@ def _(n):
 _TRACE = "trace as (select user_id as trace, row_number() over (partition by user_id order by ts, event_id) - 1 as seq, event_id % (select count(*) from part) as point from events where user_id % 10 = 0)"
 
 
-def _trace(spark, sf_dir):
+def _trace(spark, sf_dir, users="user_id % 10 = 0"):
     from pyspark.sql import Window
 
     n = spark.read.parquet(f"{sf_dir}/part.parquet").count()
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return spark.read.parquet(f"{sf_dir}/events.parquet").filter("user_id % 10 = 0").select(F.col("user_id").alias("trace"), (F.row_number().over(order) - 1).cast("long").alias("seq"), (F.col("event_id") % n).alias("point"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").filter(users).select(F.col("user_id").alias("trace"), (F.row_number().over(order) - 1).cast("long").alias("seq"), (F.col("event_id") % n).alias("point"))
 
 
 QUERIES["trace_pairs"] = lambda spark, sf_dir: matching.trace_pairs(_trace(spark, sf_dir))
@@ -410,8 +410,8 @@ SQL["trace_pairs"] = f"with {_TRACE}, p as (select trace, seq as segment, point
 _CANDIDATES = "cands as (select trace, seq, c as candidate, abs(point * 7 + c * 13) % 40 as distance from trace, range(3) t(c))"
 
 
-def _candidates(spark, sf_dir):
-    rows = _trace(spark, sf_dir).withColumn("candidate", F.explode(F.array(*[F.lit(c).cast("long") for c in range(3)])))
+def _candidates(spark, sf_dir, users="user_id % 10 = 0"):
+    rows = _trace(spark, sf_dir, users).withColumn("candidate", F.explode(F.array(*[F.lit(c).cast("long") for c in range(3)])))
     return rows.select("trace", "seq", "point", "candidate", (F.abs(F.col("point") * 7 + F.col("candidate") * 13) % 40).alias("distance"))
 
 
@@ -420,10 +420,10 @@ SQL["emission_penalty"] = f"with {_TRACE}, {_CANDIDATES} select trace, seq, cand
 
 
 def _viterbi(spark, sf_dir):
-    states = _kept(matching.emission(_candidates(spark, sf_dir).filter("seq < 6"), 4.0).select("trace", "seq", "candidate", "penalty"))
+    states = _kept(matching.emission(_candidates(spark, sf_dir, "user_id is not null"), 4.0).select("trace", "seq", "candidate", "penalty"))
     moves = states.select("trace", "seq", "candidate").join(states.select("trace", (F.col("seq") - 1).alias("seq"), F.col("candidate").alias("next")), ["trace", "seq"])
     moves = moves.withColumn("cost", (F.col("trace") + F.col("candidate") * 5 + F.col("next") * 3 + F.col("seq")) % 17).filter("(trace + seq) % 11 <> 0")
-    return matching.viterbi(states, moves)
+    return matching.viterbi(states, _kept(moves))
 
 
 QUERIES["viterbi_match"] = _viterbi

@@ -197,6 +197,15 @@ def test_viterbi_equals_enumeration(spark):
         assert price(t, path) == min(price(t, p) for p in product(range(3), repeat=4))
 
 
+def test_viterbi_match_has_every_point(spark, tmp_path):
+    from roadloom.plans.queries import QUERIES
+
+    spark.range(3).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(16).selectExpr("id as event_id", "timestamp_seconds(id) as ts", "1 + 9 * (id % 2) as user_id").write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["viterbi_match"](spark, str(tmp_path)).collect()
+    assert sorted((r.trace, r.seq) for r in got) == [(trace, seq) for trace in (1, 10) for seq in range(8)]
+
+
 def test_viterbi_beeline(spark):
     states = spark.createDataFrame([(1, s, c, c) for s in range(3) for c in range(2)], "trace long, seq long, candidate long, penalty long")
     moves = spark.createDataFrame([(1, 0, 0, 0, 5)], "trace long, seq long, candidate long, next long, cost long")
