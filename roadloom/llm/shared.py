@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word, as the contracts spell it: a run of anything but space and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -94,9 +95,31 @@ def table_bytes(df: DataFrame) -> int:
     return total
 
 
+def _width(value: Column, kind: T.DataType) -> Column:
+    """Bytes that a value takes in a row, or a little more."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        return sum((_width(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+            return F.coalesce(F.aggregate(value, F.lit(0).cast("long"), lambda a, x: a + _width(x, kind.elementType)), F.lit(0).cast("long")) + 16
+        return F.greatest(F.size(value), F.lit(0)).cast("long") * 8 + 16
+    return F.lit(8)
+
+
+def memory_bytes(df: DataFrame, most: int) -> int:
+    """Bytes that the rows of a written table take in memory, however well its files are compressed; if the files alone
+    exceed `most`, their size."""
+    packed = table_bytes(df)
+    if packed > most:
+        return packed
+    return int(df.agg(F.sum(sum((_width(F.col(f"`{f.name}`"), f.dataType).cast("long") for f in df.schema.fields), F.lit(32)))).first()[0] or 0)
+
+
 def sized(table: DataFrame, most: int = 16 << 20) -> DataFrame:
-    """A written table with a broadcast hint if its files are that small; a larger one is joined by shuffle."""
-    return F.broadcast(table) if table_bytes(table) <= most else table
+    """A written table with a broadcast hint if its rows are that small in memory; a larger one is joined by shuffle."""
+    return F.broadcast(table) if memory_bytes(table, most) <= most else table
 
 
 def drop_written(spark: SparkSession | None = None) -> None:
