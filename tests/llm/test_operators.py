@@ -291,19 +291,79 @@ class TestScores:
         counts = {r.doc_id: len(WORD.findall(r.text or "")) for r in documents.filter("doc_id < 36").collect()}
         assert all(counts[d] == n for d, n in zip(got.doc_id, got.n_words, strict=True) if d < 36)
 
-    def test_probabilities_sum_to_one(self):
-        weights = lm_score.unpacked(np.random.default_rng(0).normal(0, 0.3, lm_score._SIZE).astype(np.float32))
-        _, z = lm_score.forward(weights, np.zeros((4, 4), int))
-        p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
-        assert p.shape == (4, lm_score.FREQUENT + 1) and np.allclose(p.sum(axis=1), 1)
-
-    def test_training_helps(self):
-        rng = np.random.default_rng(3)
-        target = rng.integers(0, 8, 6000)
-        around = np.repeat(target[:, None], 4, axis=1)
-        start = rng.normal(0, 0.1, lm_score._SIZE).astype(np.float32)
-        loss = lambda flat: float(np.mean([np.log(np.exp(z).sum()) - z[t] for z, t in zip(lm_score.forward(lm_score.unpacked(flat), around[:200])[1], target[:200], strict=True)]))
-        assert loss(lm_score.fit_shard(start, around, target)) < 0.2 * loss(start)
+    def test_against_brute_force(self, documents):
+        """Each word by itself, with plain loops: its leaf's path given four neighbours, and its spelling within the leaf."""
+        rows = documents.filter("doc_id in (1, 2, 31, 33) or doc_id is null").select("doc_id", F.substring("text", 1, 3000).alias("text"))
+        words = lm_score.Vocabulary(lm_score.counted(rows))
+        weights = lm_score.unpacked(lm_score.train(rows, words))
+        embed, bend, to_class, class_bias, class_embed, to_member, member_bias = [w.astype(float) for w in weights]
+        embed = embed.reshape(len(lm_score.PLACES), -1, lm_score.WIDTH)
+        chain = np.exp(words.spelling.astype(float)).reshape(256, 256)
+        texts = [WORD.findall(r.text) for r in rows.collect()]
+        common = {w for w, _ in sorted(Counter(w for t in texts for w in t).items(), key=lambda x: -x[1])} if len({w for t in texts for w in t}) <= lm_score.FREQUENT else None
+        assert common is not None  # all words have a leaf of their own here; rare ones follow below
+
+        def leaf(word):
+            data = np.frombuffer(word.encode(), np.uint8)
+            return int(words.read(data, np.array([0]), np.array([len(data)]))[0])
+
+        def log_soft(z, k):
+            return z[k] - np.log(np.exp(z - z.max()).sum()) - z.max()
+
+        def likelihood(text):
+            total = 0.0
+            for i, word in enumerate(text):
+                x = bend.copy()
+                for k, shift in enumerate(lm_score.PLACES):
+                    x += embed[k][leaf(text[i + shift]) if 0 <= i + shift < len(text) else lm_score.EDGE]
+                own = leaf(word)
+                group, member = divmod(own, lm_score.MEMBERS)
+                total += log_soft(np.tanh(x) @ to_class + class_bias, group) + log_soft(np.tanh(x + class_embed[group]) @ to_member + member_bias[group], member)
+                if own >= lm_score.FREQUENT:
+                    data = [lm_score.BOUNDARY, *word.encode(), lm_score.BOUNDARY]
+                    total += sum(np.log(chain[a, b]) for a, b in zip(data, data[1:], strict=False)) - words.leaf_mass[own]
+            return total
+
+        unseen = ["stone zebra", "qq " + texts[0][0]]
+        got = lm_score.score(rows.sparkSession.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(90 + i, t) for i, t in enumerate(unseen)], "doc_id long, text string"), learn_from=rows)
+        for r in got.collect():
+            text = unseen[r.doc_id - 90].split() if r.doc_id >= 90 else texts[r.doc_id]
+            assert r.n_words == len(text) and r.log_prob == pytest.approx(likelihood(text), rel=1e-3, abs=1e-3)
+
+    def test_spelling_sums_to_one(self):
+        rng = np.random.default_rng(0)
+        table = np.full((256, 256), 1e-9)
+        table[[97, 98, 255]] += rng.random((3, 256)) * np.isin(np.arange(256), [97, 98, 255])
+        table[255, 255] = 0
+        chain = table / table.sum(axis=1, keepdims=True)
+        mass = lm_score.edge_masses(chain)
+        assert mass.sum() == pytest.approx(1)
+        runs, want = {(a,): chain[255, a] for a in (97, 98)}, 0.0
+        for _ in range(14):
+            want += sum(p * chain[98, 255] for r, p in runs.items() if r[0] == 97 and r[-1] == 98)
+            runs = {(*r, b): p * chain[r[-1], b] for r, p in runs.items() for b in (97, 98)}
+        assert mass[97, 98] == pytest.approx(want, rel=0.1)
+
+    def test_both_sides_beat_one_side_and_counts(self, spark):
+        """Held-out texts where every second word is told by either its left or its right neighbour."""
+        rng = np.random.default_rng(4)
+
+        def text(n):
+            outer = rng.integers(0, 12, n + 1)
+            inner = np.where(rng.random(n) < 0.5, outer[:-1], outer[1:])
+            return " ".join(w for a, b in zip(outer, inner, strict=False) for w in (f"out{a}", f"in{b}"))
+
+        known = spark.createDataFrame([(i, text(150)) for i in range(600)], "doc_id long, text string").coalesce(1)
+        held = spark.createDataFrame([(i, text(150)) for i in range(20)], "doc_id long, text string")
+        each = lambda **how: (lambda r: r[0] / r[1])(lm_score.score(held, learn_from=known, **how).agg(F.sum("log_prob"), F.sum("n_words")).first())
+        both, one, none = each(), each(places=(-2, -1)), each(places=())
+        assert both > one + 0.1 and one > none + 0.1
+
+    def test_hot_text(self, spark):
+        """A third of the rows hold one text, one row a very long one: nothing is dealt by text, and each row is scored."""
+        rows = [(i, "the hot text of every third row" if i % 3 == 0 else prose(i)) for i in range(90)] + [(90, LONG)]
+        got = lm_score.op3_lm_score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).toPandas().sort_values("doc_id")
+        assert len(got) == 91 and got[got.doc_id % 3 == 0].iloc[:30].log_prob.nunique() == 1 and got.n_words.iloc[-1] == 30_000
 
 
 def test_long_text_words():
