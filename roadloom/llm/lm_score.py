@@ -9,8 +9,8 @@ over the corpus, divided by the mass that model gives to all words of that first
 by a matrix inverse. A document's score is the sum of the conditional log probabilities of all its words.
 
 Training reads every position of every document, where the documents lie: each task walks through its split in chunks, from
-the same start, and gives one set of weights; the sets are averaged, weighed by windows, by dozens at a time. First a round
-over one position in WARM, then one over all. Nothing is dealt by text, so copies or long texts meet nowhere; a task holds a
+the same start, and gives one set of weights; the sets are averaged, weighed by windows, by some at a time. First a round
+over one document in WARM, by a hash, to start from, then one over all. Nothing is dealt by text, so copies or long texts meet nowhere; a task holds a
 chunk of a few hundred kilobytes, or one text, and one set of weights. More documents make more splits, not larger ones.
 
 Null texts count as empty: no words, a sum of 0 and a null mean. Repeated rows are scored each; as training windows they count
@@ -42,9 +42,9 @@ SIDE = 2
 PLACES = (*range(-SIDE, 0), *range(1, SIDE + 1))
 WIDTH = 16
 WARM = 16
-BATCH = 1024
+BATCH = 2048
 STEP = 0.1
-AT_ONCE = 64
+AT_ONCE = 16
 _SHAPES = [(len(PLACES) * (EDGE + 1), WIDTH), (WIDTH,), (WIDTH, CLASSES), (CLASSES,), (CLASSES, WIDTH), (WIDTH, MEMBERS), (CLASSES, MEMBERS)]
 _SIZE = sum(math.prod(s) for s in _SHAPES)
 
@@ -165,10 +165,12 @@ def contexts(leaf: np.ndarray, firsts: np.ndarray, places: Sequence[int] = PLACE
     return out + np.arange(len(PLACES)) * (EDGE + 1)
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+def _miss(z: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The loss's slope at the logits of a batch, over its mean: probabilities less what was wanted. Logits are sums of a few
+    dozen terms below 1 by weights of a few units, so their exponentials need no shift."""
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z *= 1 / (z @ np.ones(z.shape[1], z.dtype) * z.dtype.type(len(z)))[:, None]
+    z[np.arange(len(z)), wanted] -= z.dtype.type(1 / len(z))
     return z
 
 
@@ -182,14 +184,14 @@ def sums(weights: list[np.ndarray], around: np.ndarray) -> np.ndarray:
 def log_probabilities(weights: list[np.ndarray], around: np.ndarray, leaf: np.ndarray) -> np.ndarray:
     """Of each word's leaf, given the words around it."""
     _, _, to_class, class_bias, class_embed, to_member, member_bias = weights
-    out = np.empty(len(leaf))
+    out, ones = np.empty(len(leaf)), np.ones(CLASSES, weights[0].dtype)
     for a in range(0, len(leaf), 2 * BATCH):
         pre, t = sums(weights, around[a : a + 2 * BATCH]), leaf[a : a + 2 * BATCH]
         group, rows = t // MEMBERS, np.arange(len(t))
         first = np.tanh(pre) @ to_class + class_bias
         second = np.tanh(pre + class_embed[group]) @ to_member + member_bias[group]
         own = first[rows, group] + second[rows, t % MEMBERS]
-        out[a : a + 2 * BATCH] = own - np.log(np.exp(first, out=first).sum(axis=1)) - np.log(np.exp(second, out=second).sum(axis=1))
+        out[a : a + 2 * BATCH] = own - np.log((np.exp(first, out=first) @ ones) * (np.exp(second, out=second) @ ones))
     return out
 
 
@@ -208,17 +210,13 @@ class Trainer:
 
     def step(self, around: np.ndarray, leaf: np.ndarray) -> None:
         _, _, to_class, class_bias, class_embed, to_member, member_bias = self.weights
-        many, group, rows = np.float32(len(leaf)), leaf // MEMBERS, np.arange(len(leaf))
+        group = leaf // MEMBERS
         pre = sums(self.weights, around)
         first, second = np.tanh(pre), np.tanh(pre + class_embed[group])
-        miss = _softmax(first @ to_class + class_bias)
-        miss[rows, group] -= 1
-        miss /= many
-        own = _softmax(second @ to_member + member_bias[group])
-        own[rows, leaf % MEMBERS] -= 1
-        own /= many
+        miss = _miss(first @ to_class + class_bias, group)
+        own = _miss(second @ to_member + member_bias[group], leaf % MEMBERS)
         hot = np.zeros((CLASSES, len(leaf)), np.float32)
-        hot[group, rows] = 1
+        hot[group, np.arange(len(leaf))] = 1
         second_back = (own @ to_member.T) * (1 - second * second)
         back = (miss @ to_class.T) * (1 - first * first) + second_back
         flat = around.reshape(-1).astype(np.uint16 if self.weights[0].shape[0] < 1 << 16 else np.int64)
@@ -240,7 +238,7 @@ class Trainer:
 
 def train(docs: DataFrame, words: Vocabulary, places: Sequence[int] = PLACES) -> np.ndarray:
     def averaged(parts: DataFrame) -> np.ndarray | None:
-        """The mean of the tasks' weights: of dozens of them until few are left."""
+        """The mean of the tasks' weights: of AT_ONCE of them until one is left."""
 
         def mean(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf, total = pdf.sort_values("part"), np.zeros(_SIZE)
@@ -260,7 +258,7 @@ def train(docs: DataFrame, words: Vocabulary, places: Sequence[int] = PLACES) ->
     for every in (WARM, 1):
         begin = start
 
-        def fit(batches: Iterator[pa.RecordBatch], begin=begin, every=every) -> Iterator[pa.RecordBatch]:
+        def fit(batches: Iterator[pa.RecordBatch], begin=begin) -> Iterator[pa.RecordBatch]:
             trainer, many, rng = Trainer(begin), 0, np.random.default_rng(11)
             held: list[tuple] = []
 
@@ -275,8 +273,7 @@ def train(docs: DataFrame, words: Vocabulary, places: Sequence[int] = PLACES) ->
                 for _, _, data, starts, ends, firsts in _words(batch.column(0)):
                     leaf = words.read(data, starts, ends)
                     around = contexts(leaf, firsts, places)
-                    drawn = np.arange(int(rng.integers(every)), len(leaf), every)
-                    held.append((around[drawn], leaf[drawn]))
+                    held.append((around, leaf))
                     if sum(len(x) for _, x in held) >= BATCH:
                         learn()
             if held and sum(len(x) for _, x in held):
@@ -284,7 +281,8 @@ def train(docs: DataFrame, words: Vocabulary, places: Sequence[int] = PLACES) ->
             if many:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([many], pa.int64()), pa.array([trainer.flat.tobytes()], pa.binary())], names=["part", "many", "weights"])
 
-        found = averaged(written(map_arrow(docs.select("text"), fit, "part long, many long, weights binary"), "fitted"))
+        some = docs if every == 1 else docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0)
+        found = averaged(written(map_arrow(some.select("text"), fit, "part long, many long, weights binary"), "fitted"))
         start = start if found is None else found
     return start
 
