@@ -284,6 +284,41 @@ class TestWrappers:
         assert html_wrappers.op6_main_text(pages.limit(0)).count() == 0
 
 
+    def test_wrapper_decides_on_bare_pages(self, spark):
+        """Everything is a div without a name; short articles are found in their host's place, not by their length."""
+        menu = lambda k: "<div><ul>" + "".join(f"<li><a href=x>{w}</a></li>" for w in prose(k, 6).split()) + "</ul></div>"
+        story = lambda k: [f"Title {k}", *(prose(50 * k + j, 3 if k % 6 == 0 else 60).replace("\n", " ") for j in range(1 + k % 3))]
+        page = lambda k: f"<body><div>Site name</div>{menu(k)}<div>{prose(3000 + k, 20)}</div><div><h1>{story(k)[0]}</h1>{''.join(f'<p>{x}</p>' for x in story(k)[1:])}{'<div><p>inner</p></div>' if k % 4 == 1 else ''}</div><div>{prose(7000 + k, 12)}</div></body>"
+        want = {k: "\n".join(story(k) + (["inner"] if k % 4 == 1 else [])) for k in range(60)}
+        pages = spark.createDataFrame([(k, f"http://h{k % 2}.example/{k}", page(k), "x") for k in range(60)], "page_id long, url string, html string, wrapper string").repartition(5)
+        got = {r.page_id: r.text for r in html_wrappers.op6_main_text(pages).collect()}
+        alone = {k: html_wrappers.main_text(html_wrappers.parse(page(k)), None) for k in want}
+        assert sum(got[k] == want[k] for k in want) >= 57
+        assert sum(got[k] != alone[k] for k in want) >= 8 and sum(alone[k] == want[k] for k in want) <= 52
+
+    def test_nothing_of_an_article_is_dropped(self, spark):
+        html = "<body><header>Head</header><div id=menu>m</div><article><header>By A</header><p class='share-price'>Shares rose.</p><div class='related'>Related: it fell.</div><ul><li><a href=x>One source</a></li></ul><div class='ad'>Buy!</div><section id='comments'>first!</section><aside>side</aside></article><div class=footer>f</div></body>"
+        deep = "<div>" * 3000 + "<p>deep text" + "</div>" * 3000 + "<p>after"
+        long = "<article>" + "".join(f"<h2>{k}</h2><p>{prose(k, 30)}</p><ul><li>a{k}</ul>" for k in range(3000)) + "</article>"
+        rows = [(1, "http://a.example", html), (2, "http://b.example", deep), (3, "http://c.example", long), (3, "http://c.example", long), (4, None, "<p>x"), (5, "http://c.example", None)]
+        got = {r.page_id: r.text for r in html_wrappers.op6_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got[1] == "By A\nShares rose.\nRelated: it fell.\nOne source" and got[2] == "deep text\nafter" and got[4] == "x" and got[5] == ""
+        assert got[3] == "\n".join(x for k in range(3000) for x in (str(k), " ".join(prose(k, 30).split()), f"a{k}"))
+
+    def test_groups(self):
+        fold = lambda *pages: (lambda ws: html_wrappers.expression(__import__("functools").reduce(html_wrappers.merged, ws)))([html_wrappers.wrapper_of(html_wrappers.parse(p)) for p in pages])
+        assert fold("<dl><dt>a<dd>b<dt>c<dd>d</dl>") == "<html><dl>(<dt>#</> <dd>#</>)+</></>"
+        assert fold("<h2>a</h2><p>b</p>", "<p>b</p><h2>a</h2>") == '<html>(<h2>"a"</>? <p>"b"</>?)+</>'
+
+    def test_longest_rising_run(self):
+        rng = np.random.default_rng(6)
+        for _ in range(60):
+            ys = rng.permutation(9).tolist()
+            got = html_wrappers.rising(list(enumerate(ys)))
+            best = max(sum(m >> k & 1 for k in range(9)) for m in range(512) if (lambda v: v == sorted(v))([ys[k] for k in range(9) if m >> k & 1]))
+            assert len(got) == best and [y for _, y in got] == sorted(y for _, y in got) and all(ys[x] == y for x, y in got)
+
+
 class TestScores:
     def test_pseudo_likelihood(self, documents):
         got = lm_score.op3_lm_score(documents).toPandas()
