@@ -2,18 +2,22 @@
 
 Rules on a text alone count words, symbols, repeated lines and words in repeated windows. The method is the corpus's: lines
 are normalised (case, digits, white space) and hashed, and counted over the distinct texts of each host (the source). A
-line that more than LEAST_DOCS texts and more than SHARE of all texts of its host hold is boilerplate and is removed; a
-text that keeps less than KEPT of its words is depleted and rejected. Copies of a text count once, so copies alone make no
-boilerplate. A host's lines above the limit are at most its mean lines a text over SHARE, whatever its size.
+line that more than LEAST_DOCS texts of its host hold, and more than ROOT times the root of the number of its texts, is
+boilerplate and is removed; a text that keeps less than KEPT of its words is depleted and rejected. Copies of a text count
+once, so copies alone make no boilerplate. The limit grows with the host, but slowly: what is common to some hundreds of a
+million texts goes.
 
 Texts are read once; what stays are line hashes and counts, written, with a number for each row, so repeated rows are
-judged each. Null texts have no words and fail the rules. A null source is a host of its own. Words that occur in windows
-of texts of a million words or more are matched on whole hashes, others on hashes cut to 44 bits. An empty table gives an
+judged each. Null texts have no words and fail the rules. A null source is a host of its own. Repeated windows are found by
+sorting numbers that hold a hash and a place, and windows that agree there count if their words are the same. An empty table gives an
 empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +27,8 @@ SYMBOLS = r"[#*$%&|<>]"
 BLANK = r"[\x20\x09-\x0D]+"
 LEAST_WORDS = 50
 LEAST_DOCS = 20
-SHARE = 0.01
+ROOT = 0.5
 KEPT = 0.3
-PLACE_BITS = 20
 
 
 def repeated_words(found: Column) -> Column:
@@ -34,16 +37,21 @@ def repeated_words(found: Column) -> Column:
     def covered(places: Column) -> Column:
         return let(F.sort_array(places), lambda p: F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(3), F.get(p, k + 1) - x)), F.lit(0), lambda a, v: a + v.cast("int")))
 
-    def windows(h: Column, mark) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: mark(F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)), i))
+    def pairs(same: Callable[[Column, Column], Column], far: int) -> Callable[[Column], Column]:
+        """Which of an array are the same as one of their neighbours, up to so far."""
+        return lambda s: F.filter(s, lambda x, k: reduce(Column.__or__, [F.coalesce(same(F.get(s, k + d), x), F.lit(False)) for d in range(-far, far + 1) if d]))
 
-    def twice(s: Column, key, place) -> Column:
-        return F.transform(F.filter(s, lambda x, k: (F.coalesce(key(F.get(s, k - 1)) == key(x), F.lit(False))) | (F.coalesce(key(F.get(s, k + 1)) == key(x), F.lit(False)))), place)
+    def found_twice(hashes: Column, bits: Column) -> Column:
+        key = lambda x: F.call_function("shiftright", x, bits)
+        place = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1).cast("int")
+        marked = F.transform(F.sequence(F.lit(0), F.size(hashes) - 3), lambda i: F.call_function("shiftleft", F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2)), bits).bitwiseOR(i.cast("long")))
+        equal = lambda a, b: (key(a) == key(b)) & reduce(Column.__and__, [F.get(found, place(a) + j) == F.get(found, place(b) + j) for j in range(3)])
+        alike = let(F.sort_array(marked), pairs(lambda a, b: key(a) == key(b), 1))
+        return covered(F.transform(let(alike, pairs(equal, 2)), place))
 
-    packed = lambda h: let(F.sort_array(windows(h, lambda x, i: F.shiftleft(x, PLACE_BITS).bitwiseOR(i.cast("long")))), lambda s: covered(twice(s, lambda x: F.shiftright(x, PLACE_BITS), lambda x: x.bitwiseAND((1 << PLACE_BITS) - 1).cast("int"))))
-    whole = lambda h: let(F.array_sort(windows(h, lambda x, i: F.struct(x.alias("x"), i.alias("i")))), lambda s: covered(twice(s, lambda x: x["x"], lambda x: x["i"])))
     hashed = F.transform(found, lambda w: F.xxhash64(w))
-    return F.when(F.size(found) < 3, F.lit(0)).otherwise(let(hashed, lambda h: F.when(F.size(h) < 1 << PLACE_BITS, packed(h)).otherwise(whole(h)))).cast("long")
+    counted = let(hashed, lambda h: let(F.ceil(F.log2(F.size(h))).cast("int"), lambda bits: found_twice(h, bits)))
+    return F.when(F.size(found) < 3, F.lit(0)).otherwise(counted).cast("long")
 
 
 def measured(docs: DataFrame, host: str = "source") -> DataFrame:
@@ -57,17 +65,17 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
     return written(rows.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "_host", "_text", "w.*", "l.*", "n_symbols"), "lines")
 
 
-def boilerplate(rows: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
+def boilerplate(rows: DataFrame, least_docs: int = LEAST_DOCS, root: float = ROOT) -> DataFrame:
     """_host, line of the lines above the limits; written."""
     lines = rows.select("_host", "_text", F.explode(F.array_distinct(F.transform("lines", lambda s: s["line"]))).alias("line"))
     counted = lines.groupBy("_host", "line", "_text").agg(F.lit(1)).groupBy("_host", "line").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > least_docs)
     sizes = rows.groupBy("_host", "_text").agg(F.lit(1)).groupBy("_host").agg(F.count(F.lit(1)).alias("texts"))
-    return written(written(counted, "counted").join(written(sizes, "hosts"), "_host").filter(F.col("docs") > F.col("texts") * F.lit(share)).select("_host", "line"), "boilerplate")
+    return written(written(counted, "counted").join(written(sizes, "hosts"), "_host").filter(F.col("docs") > F.lit(root) * F.sqrt(F.col("texts").cast("double"))).select("_host", "line"), "boilerplate")
 
 
-def judged(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, share: float = SHARE, kept: float = KEPT) -> DataFrame:
+def judged(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, root: float = ROOT, kept: float = KEPT) -> DataFrame:
     rows = measured(docs, host)
-    common = sized(boilerplate(rows, least_docs, share))
+    common = sized(boilerplate(rows, least_docs, root))
     lines = rows.select("_row", "_host", F.explode("lines").alias("l")).select("_row", "_host", "l.line", "l.words")
     lost = lines.join(common, ["_host", "line"]).groupBy("_row").agg(F.sum("words").alias("n_removed_words"))
     out = rows.join(lost, "_row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
@@ -93,7 +101,7 @@ full_lines as (select r, raw, trim(lower(regexp_replace(regexp_replace(raw, '[0-
 dups as (select r, count(*) - count(distinct raw) as n from full_lines group by r),
 hosts as (select host, count(distinct t) as texts from d group by host),
 common as (select host, line from full_lines join d using (r) join hosts using (host) group by host, line, texts
-           having count(distinct t) > {LEAST_DOCS} and count(distinct t) > texts * {SHARE}::double),
+           having count(distinct t) > {LEAST_DOCS} and count(distinct t) > {ROOT}::double * sqrt(texts::double)),
 lost as (select r, sum(n) as n from full_lines join d using (r) join common using (host, line) group by r),
 m as (
   select doc_id, len(ws)::bigint as n_words, length(list_aggregate(ws, 'string_agg', ''))::bigint as word_chars,

@@ -2,8 +2,8 @@
 
 Each document has an expected number of copies, the same for all documents of a source: the source's target over its
 size. Within a source the documents stand in order of size; the expected copies are summed up in that order, one random
-offset (of a few that are drawn, the best) is added for the source, and a document is emitted once for each integer that its stretch of the sum crosses.
-As neighbours are alike in size, the words taken stay near the target; no document comes more often than its expected
+offset is added for the source, and a document is emitted once for each integer that its stretch of the sum crosses. As
+neighbours are alike in size, the words taken stay near the target, and each document's chance is its expected copies; no document comes more often than its expected
 copies rounded up. The sums are whole numbers of 2**-24 copies, so they are exact in any order and reruns agree.
 
 Null texts have size 0; the null source is a source of its own, last in order. A repeated row is a document of its own,
@@ -23,8 +23,6 @@ SHARE = 1.5
 CAP = 2
 SEED = "mix"
 ONE = 1 << 24
-#: Offsets drawn for a source; the one whose mix comes nearest to the target is used. It matters for sources of few documents.
-DRAWS = 32
 
 
 def row_key() -> Column:
@@ -69,13 +67,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
         F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long"), F.lit(n_buckets(rows))).alias("_deal"),
     )
     summed = written(prefix_within(spread, ["_source"], ["_class", "_deal"], ["size", "doc_id", "_row"], "_rate", "_before"), "summed")
-    draw = lambda j: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}{j}"), F.col("_source"))), 1, 8), 16, 10).cast("long") % ONE
-    draws = per.select("_source", F.array(*[draw(j) for j in range(DRAWS)]).alias("_draws"))
-    copies = lambda offset: F.shiftright(F.col("_before") + F.col("_rate") + offset, 24) - F.shiftright(F.col("_before") + offset, 24)
-    tried = summed.join(draws, "_source").groupBy("_source").agg(F.first("target").alias("_aim"), F.first("_draws").alias("_draws"), *[F.sum(copies(F.col("_draws")[j]) * F.col("size")).alias(f"_taken{j}") for j in range(DRAWS)])
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_taken{j}") - F.col("_aim")), F.lit(j), F.col("_draws")[j].alias("offset")) for j in range(DRAWS)]))["offset"]
-    chosen = written(tried.select("_source", best.alias("_offset")), "offsets")
-    return summed.join(chosen, "_source").withColumn("copies", copies(F.col("_offset"))).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "_row")
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("_source"))), 1, 8), 16, 10).cast("long") % ONE
+    copies = F.shiftright(F.col("_before") + F.col("_rate") + F.col("_offset"), 24) - F.shiftright(F.col("_before") + F.col("_offset"), 24)
+    return summed.withColumn("_offset", offset).withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "_row")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
@@ -117,12 +111,8 @@ dealt as (
 summed as (
   select *, coalesce(sum(rate) over (partition by k order by cls, deal, size, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as before
   from dealt),
-tried as (
-  select k, j, any_value(o) as o, abs(sum((((before + rate + o) >> 24) - ((before + o) >> 24)) * size)::bigint - any_value(target)) as miss
-  from (select *, ('0x' || substr(md5('mix' || j || k), 1, 8))::bigint % 16777216 as o from summed, range(32) r(j))
-  group by k, j),
-chosen as (select k, arg_min(o, (miss, j)) as o from tried group by k)
+drawn as (select *, ('0x' || substr(md5('mix' || k), 1, 8))::bigint % 16777216 as o from summed)
 select doc_id, size, source_size, target, (((before + rate + o) >> 24) - ((before + o) >> 24))::bigint as copies,
        ((((before + rate + o) >> 24) - ((before + o) >> 24)) * size)::bigint as taken
-from summed join chosen using (k)
+from drawn
 """

@@ -5,7 +5,7 @@ first, to the open sequence that scores best among those that hold them under ev
 what would be left, or the largest weighted dot product of need and room. As pieces of one length are alike, the packing
 runs on the counts by length: at most max_tokens rows come to the driver, whatever the corpus, and it gives slots, each
 a range of ranks among the pieces of a length with a range of sequences and an offset. A piece then finds its slot by
-its rank. Only documents longer than a sequence are cut; the first piece has the remainder.
+its rank, by halving the list of its length's slots. Only documents longer than a sequence are cut; the first piece has the remainder.
 
 A null text counts as empty and gives one piece, the end token. A repeated row is a document of its own. A null doc_id is
 an id like others. An empty table gives an empty result. Other columns are ignored.
@@ -13,8 +13,13 @@ an id like others. An empty table gives an empty result. Other columns are ignor
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textnp
 from .shared import map_arrow, n_buckets, prefix_within, with_text, written
 
 MAX_TOKENS = 2048
@@ -29,58 +35,78 @@ MAX_DOCUMENTS = 2048
 MAX_ATTENTION = MAX_TOKENS * MAX_TOKENS
 WEIGHTS = (1.0, 1e-3, 1e-3)
 END_ID = 0
+#: Words that a worker keeps the ids of.
+HELD_WORDS = 300_000
+COMMON = 0x250
+#: Contractions, then runs of letters, numbers or others, each with one space before it, then space.
+SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def encoder(tokenizer_file: str):
-    """text -> ids of the tokenizer file. Where the file has a twin of ranks, the ranks are used, as they take a quarter
-    of the time; a few texts are encoded both ways first, and any difference falls back to the file itself."""
-    import os
+class Encoder:
+    """Texts to ids (as bytes, little-endian, 4 each) by the tokenizer file. The file's split into words depends only on
+    whether characters are letters, numbers, space or others, and each word's ids only on the word. So where the file has that
+    plain split, words are split by the same rule here, and each distinct word is encoded by the tokenizer once. Which
+    characters both sides class alike is tried out for every one below COMMON; a text with any other character, or with the
+    text of an added token, is encoded by the tokenizer as a whole."""
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    def __init__(self, tokenizer_file: str):
+        import json
+        import os
 
-    whole = Tokenizer.from_file(tokenizer_file)
-    slow = lambda text: whole.encode(text, add_special_tokens=False).ids
-    try:
-        import base64
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-        import public_tokenizers
-        import tiktoken
+        self.whole = Tokenizer.from_file(tokenizer_file)
+        self.words: dict[str, bytes] = {}
+        shape = json.loads(self.whole.to_str())
+        split, model = shape.get("pre_tokenizer") or {}, shape["model"]
+        self.plain = (split.get("type"), split.get("use_regex"), split.get("add_prefix_space")) == ("ByteLevel", True, False) and model.get("type") == "BPE" and not model.get("dropout") and not any(shape.get(x) for x in ("normalizer", "truncation", "padding"))
+        if self.plain:
+            alike = [c for c in map(chr, range(COMMON)) if self._alike(c)]
+            added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
+            self.other = re.compile("|".join([f"[^{re.escape(''.join(alike))}]", *added]))
+
+    def _alike(self, c: str) -> bool:
+        return all([m.span() for m in SPLIT.finditer(t)] == [at for _, at in self.whole.pre_tokenizer.pre_tokenize_str(t)] for t in (f"a{c}a", f"9{c}9", f"!{c}!", f" {c}{c}", f"{c}{c} a", f"\n{c} 9", f"a'{c}"))
+
+    def _ids(self, texts: list[str]) -> Iterator[bytes]:
+        for found in self.whole.encode_batch_fast(texts, add_special_tokens=False):
+            yield array("I", found.ids).tobytes() if sys.byteorder == "little" else np.array(found.ids, "<u4").tobytes()
 
-        with open(tokenizer_file.removesuffix(".json") + ".tiktoken", "rb") as file:
-            ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, file)}
-        special = {t.content: i for i, t in whole.get_added_tokens_decoder().items()}
-        fast_one = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        fast = lambda text: fast_one.encode(text, allowed_special="all")
-        probes = ["", " ", "a  b\n\n c", "Élan d'été: 12 345!?", "it's <|endoftext|> they'LL\t\r\n", "ﬀ 漢字 🙂 x", *special]
-        return fast if all(fast(p) == slow(p) for p in probes) else slow
-    except (ImportError, OSError, ValueError):
-        return slow
+    def encode(self, texts: list[str]) -> list[bytes]:
+        plain = [self.plain and not self.other.search(t) for t in texts]
+        split = [SPLIT.findall(t) if ok else [] for t, ok in zip(texts, plain, strict=True)]
+        if len(self.words) > HELD_WORDS:
+            self.words.clear()
+        new = list(set(chain.from_iterable(split)).difference(self.words))
+        self.words.update(zip(new, self._ids(new), strict=True))
+        rest = self._ids([t for t, ok in zip(texts, plain, strict=True) if not ok])
+        return [b"".join(map(self.words.__getitem__, s)) if ok else next(rest) for s, ok in zip(split, plain, strict=True)]
+
+
+@lru_cache(1)
+def encoder(tokenizer_file: str) -> Encoder:
+    """One a worker process: its words are kept from task to task."""
+    return Encoder(tokenizer_file)
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, max_tokens: int = MAX_TOKENS, keep_ids: bool = False) -> DataFrame:
     """One row a piece; with keep_ids also its ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_file)
+        from roadloom.llm import packing  # the worker's own module, which keeps the words
+
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
+            _, begins = textnp.text_bytes(batch.column(1))
+            for low, high in textnp.chunks(begins, 1 << 20):
+                part = batch.slice(low, high - low)
                 rows: list[tuple] = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    try:
-                        ids = encode(text)
-                    except BaseException as error:  # noqa: BLE001  the ranks' library gives up on very long runs
-                        if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
-                            raise
-                        from tokenizers import Tokenizer
-
-                        ids = Tokenizer.from_file(tokenizer_file).encode(text, add_special_tokens=False).ids
-                    ids = np.array([*ids, END_ID], dtype="<u4")
-                    first = (len(ids) - 1) % max_tokens + 1
-                    edges = [0, *range(first, len(ids) + 1, max_tokens)]
-                    rows += [(doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), *([ids[a:b].tolist()] if keep_ids else [])) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+                for doc, ids in zip(part.column(0).to_pylist(), packing.encoder(tokenizer_file).encode(part.column(1).to_pylist()), strict=True):
+                    ids += END_ID.to_bytes(4, "little")
+                    many = len(ids) // 4
+                    edges = [0, *range((many - 1) % max_tokens + 1, many + 1, max_tokens)]
+                    rows += [(doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), *([np.frombuffer(ids, "<u4")[a:b].tolist()] if keep_ids else [])) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.list_(pa.int64())] if keep_ids else [])]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -152,10 +178,14 @@ def pack(cut: DataFrame, **how) -> DataFrame:
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     found = slots(counts, **how)
     # the slots depend on the lengths that occur, at most max_tokens, not on the number of documents
-    table = F.broadcast(spark.createDataFrame(found, "length long, low long, high long, sequence long, offset long"))
+    by_length = found.sort_values(["length", "low"]).groupby("length").agg(list).reset_index()
+    table = F.broadcast(spark.createDataFrame(by_length, "length long, low array<long>, high array<long>, sequence array<long>, offset array<long>").withColumnsRenamed({"low": "_low", "sequence": "_sequence", "offset": "_at"}).drop("high"))
     deal = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_buckets(sum(counts.values()))))
     ranked = prefix_within(cut.withColumn("_deal", deal).withColumn("_one", F.lit(1).cast("long")), ["length"], ["_deal"], ["doc_id", "piece", "ids_crc32"], "_one", "_rank")
-    return ranked.join(table, "length").filter((F.col("_rank") >= F.col("low")) & (F.col("_rank") < F.col("high"))).withColumn("sequence_id", F.col("sequence") + F.col("_rank") - F.col("low")).select(*cut.columns, "sequence_id", "offset")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(int(by_length.low.map(len).max()).bit_length() if len(by_length) else 1))])
+    slot = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get("_low", at + step) <= F.col("_rank"), F.lit(False)), at + step).otherwise(at))
+    placed = ranked.join(table, "length").withColumn("_slot", slot)
+    return placed.withColumn("sequence_id", F.get("_sequence", F.col("_slot")) + F.col("_rank") - F.get("_low", F.col("_slot"))).withColumn("offset", F.get("_at", F.col("_slot"))).select(*cut.columns, "sequence_id", "offset")
 
 
 def op10_pack_sequences(docs: DataFrame, tokenizer_file: str | None = None) -> DataFrame:

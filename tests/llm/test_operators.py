@@ -165,6 +165,11 @@ class TestMixing:
         got = mixing.mix(documents).toPandas()
         per = got.groupby(got.source.fillna("~")).agg(size=("size", "sum"), target=("target", "first"))
         assert per.target.sum() == pytest.approx(1.5 * per["size"].sum()) and (per.target <= 2 * per["size"] + 1e-6).all() and (got.taken <= 2 * got["size"]).all()
+        for _, rows in got.sort_values(["size"]).groupby(got.source.fillna("~")):
+            # one offset: the copies of any stretch of the order are its expected copies, rounded up or down
+            rate = rows.target.iloc[0] / rows.source_size.iloc[0] if rows.source_size.iloc[0] else 0
+            assert abs(rows.copies.sum() - rate * len(rows)) < 1 + 1e-3 and rows.copies.between(int(rate), int(rate) + 1).all()
+            assert abs(rows.taken.sum() - rows.target.iloc[0]) <= 2 * rows["size"].max() + 1
         whole = mixing.mixed_documents(documents)
         assert whole.columns == documents.columns and whole.count() == got.copies.sum()
 
@@ -266,6 +271,37 @@ class TestPacking:
             assert s.offset.tolist() == [0, *s.length.cumsum().tolist()[:-1]] and s.length.sum() <= 2048
 
 
+    def test_ids_of_any_text(self):
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        file = public_tokenizers.path("byte_bpe_50k.json")
+        whole, made = Tokenizer.from_file(file), packing.Encoder(file)
+        rng = np.random.default_rng(3)
+        pool = [*map(chr, range(0x300)), *" \n\t  ''_²½ﬀ漢🙂\u2028\u0660", "<|endoftext|>", " 's", "they'LL", "x" * 5000, "12", " the"]
+        texts = ["", " ", *("".join(rng.choice(pool[:k], 30)) for k in (0x80, 0x100, 0x250, len(pool)) for _ in range(150)), prose(5), "é" * 3000]
+        assert made.plain and sum(made.other.search(t) is None for t in texts) > 20
+        assert [np.frombuffer(x, "<u4").tolist() for x in made.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+class TestLineRules:
+    def test_repeated_words_by_brute_force(self, spark):
+        rng = np.random.default_rng(8)
+        texts = [" ".join(f"w{x}" for x in rng.integers(0, k, n)) for k, n in ((3, 40), (9, 200), (60, 900), (500, 5000), (2, 3), (1, 2), (1, 9))]
+        got = {r.doc_id: r.n_repeat_words for r in line_rules.op9_line_rules(spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")).collect()}
+        for i, t in enumerate(texts):
+            w = t.split()
+            n = Counter(zip(w, w[1:], w[2:], strict=False))
+            assert got[i] == len({k + j for k in range(len(w) - 2) for j in range(3) if n[tuple(w[k : k + 3])] > 1})
+
+    def test_limit_of_a_host(self, spark):
+        """Of 6,400 texts more than 40 must have a line; of 100 more than 20."""
+        own = lambda i: "".join(chr(97 + int(c)) for c in str(i))  # noqa: E731  digits are alike to a line
+        rows = [(i, f"text {own(i)}\n" + ("all rights reserved\n" if i < 41 else "") + ("some rights reserved\n" if i < 40 else ""), "big") for i in range(6400)] + [(10_000 + i, f"text {own(i)}\n" + ("few\n" if i < 21 else "") + ("fewer\n" if i < 20 else ""), "small") for i in range(100)]
+        got = line_rules.op9_line_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+        assert got.agg(F.sum("n_removed_words")).first()[0] == 41 * 3 + 21
+
+
 class TestWrappers:
     def test_expression(self):
         pages = [html_wrappers.parse(h) for h in ("<body><p>a</p><p>b</p></body>", "<body><h1>T</h1><p>c</p></body>", "<body><p>a</p><ul><li>x<li>y</ul></body>")]
