@@ -278,10 +278,10 @@ class TestPacking:
         file = public_tokenizers.path("byte_bpe_50k.json")
         whole, made = Tokenizer.from_file(file), packing.Encoder(file)
         rng = np.random.default_rng(3)
-        pool = [*map(chr, range(0x300)), *" \n\t  ''_²½ﬀ漢🙂\u2028\u0660", "<|endoftext|>", " 's", "they'LL", "x" * 5000, "12", " the"]
+        pool = [*map(chr, range(0x300)), *" \n\t  ''_²½ﬀ漢🙂\u2028\u0660", "<|endoftext|>", " 's", "they'LL", "x" * 12_000, "12", " the"]
         texts = ["", " ", *("".join(rng.choice(pool[:k], 30)) for k in (0x80, 0x100, 0x250, len(pool)) for _ in range(150)), prose(5), "é" * 3000]
-        assert made.plain and sum(made.other.search(t) is None for t in texts) > 20
-        assert [np.frombuffer(x, "<u4").tolist() for x in made.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert made.merged and sum(made.other.search(t) is None for t in texts) > 20 and made.long.search("y" * 10_000)
+        assert [np.frombuffer(made.encode(x), "<u4").tolist() for x in texts] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 class TestLineRules:
