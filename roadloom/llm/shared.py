@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 #: A word, as the contracts spell it: a run of anything but space and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-BATCH = 2000
+BATCH_BYTES = 4 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -64,17 +64,24 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """mapInArrow in batches of BATCH rows (unless the session names a number of its own), so that a worker's memory follows
-    a few megabytes of text; what a batch has used is given back before the next."""
-    spark = df.sparkSession
-    ship(spark)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    """mapInArrow where function sees slices of about BATCH_BYTES (or one row, if that is longer) whatever size the session's
+    batches have; what a batch has used is given back before the next."""
+    ship(df.sparkSession)
 
     def run(batches):
         from roadloom.llm.textnp import release
 
-        for out in function(batches):
+        def slices():
+            for batch in batches:
+                many = max(1, min(batch.num_rows, BATCH_BYTES * batch.num_rows // max(batch.nbytes, 1)))
+                for low in range(0, batch.num_rows, many):
+                    part = batch.slice(low, many)
+                    if many > 1 and part.nbytes > 4 * BATCH_BYTES:  # a few long texts among short ones
+                        yield from (part.slice(k, 1) for k in range(part.num_rows))
+                    else:
+                        yield part
+
+        for out in function(slices()):
             yield out
             release()
 

@@ -1,9 +1,9 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-A text's features are the distinct runs of 4, 5 and 6 bytes of its lower-case form (all but letters read as spaces),
-hashed into 2**20 buckets. For each bucket the log ratio of its rates in toxic and in other texts is its scale; buckets
-whose rates don't differ beyond chance are left out, so a long clean text adds up no noise. A logistic regression is
-then fitted on the scaled features. It learns from at most SAMPLE labelled rows (by a hash of the id, never from
+A text's features are the distinct runs of 4, 5 and 6 characters of its lower-case form (ASCII other than letters read as
+spaces), hashed into 2**20 buckets. For each bucket the log ratio of its rates in toxic and in other texts is its scale; buckets
+whose rates don't differ beyond chance are left out, so a long clean text adds up no noise, and of the others the FEATURES
+(a parameter) that differ most beyond it are kept. A logistic regression is then fitted on the scaled features. It learns from at most SAMPLE labelled rows (by a hash of the id, never from
 held-out rows); ratios and weights come from those rows. Scores are logistic, from 0 to 1.
 
 Null texts count as empty; an empty text gets the score of the intercept alone. Rows of labels without id or label are
@@ -32,6 +32,7 @@ FEATURES = 1 << 14
 MIN_COUNT = 4
 CHANCE = 4.0
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(0xD1342543DE82EF95)
 
 
 @dataclass
@@ -54,23 +55,38 @@ def _letters(data: np.ndarray) -> np.ndarray:
     return np.where(keep, data, np.uint8(32))
 
 
+def characters(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each character of UTF-8 texts, and where each text's characters begin."""
+    first = (data & 0xC0) != 0x80
+    if first.all():
+        return data.astype(np.uint64), begins
+    at = np.flatnonzero(first)
+    code, size = data[at].astype(np.uint64), np.diff(np.append(at, len(data)))
+    for j in range(1, 4):
+        longer = np.flatnonzero(size > j)
+        code[longer] |= data[at[longer] + j].astype(np.uint64) << np.uint64(8 * j)
+    return code, np.append(0, np.cumsum(first))[begins]
+
+
 def gram_buckets(data: np.ndarray, begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each n: the text and the bucket of every run of n bytes; a text stands between two spaces."""
+    """For each n: the text and the bucket of every run of n characters; a text stands between two spaces."""
+    code, begins = characters(_letters(data), begins)
     n_texts = len(begins) - 1
-    padded = np.full(len(data) + 2 * n_texts, 32, np.uint8)
+    padded = np.full(len(code) + 2 * n_texts, 32, np.uint64)
     text = np.repeat(np.arange(n_texts), np.diff(begins))
-    padded[np.arange(len(data)) + 2 * text + 1] = _letters(data)
+    padded[np.arange(len(code)) + 2 * text + 1] = code
     ends = begins[1:] + 2 * np.arange(1, n_texts + 1)
     owner = np.repeat(np.arange(n_texts), np.diff(begins) + 2)
-    run = padded.astype(np.uint64)
+    run = padded
     for n in range(2, max(GRAMS) + 1):
         if len(padded) < n:
             return
-        run = run[: len(padded) - n + 1] | (padded[n - 1 :].astype(np.uint64) << np.uint64(8 * (n - 1)))
+        run = run[: len(padded) - n + 1] * _STEP + padded[n - 1 :]
         if n in GRAMS:
             own = np.arange(len(run)) + n <= ends[owner[: len(run)]]
-            bucket = ((run * _ODD + np.uint64(n)) * _ODD) >> np.uint64(64 - BITS)
-            yield owner[: len(run)][own], bucket[own].astype(np.int64)
+            mixed = run[own] * _ODD
+            bucket = ((mixed ^ (mixed >> np.uint64(29))) * _ODD + np.uint64(n) * _STEP) >> np.uint64(64 - BITS)
+            yield owner[: len(run)][own], bucket.astype(np.int64)
 
 
 def _present(column: pa.Array, wanted: np.ndarray | None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -95,7 +111,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int)
     return written(with_text(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "sample")
 
 
-def fit(sample: DataFrame) -> Model:
+def fit(sample: DataFrame, most: int = FEATURES) -> Model:
     totals = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n, toxic = sum(totals.values()), totals.get(1, 0)
     none = np.zeros(0, np.int64)
@@ -118,7 +134,7 @@ def fit(sample: DataFrame) -> Model:
     p, q = F.col("toxic") / F.lit(float(toxic)), F.col("clean") / F.lit(float(n - toxic))
     share = (F.col("toxic") + F.col("clean")) / F.lit(float(n))
     beyond = F.abs(p - q) / F.sqrt(share * (F.lit(1.0) - share) * F.lit(1.0 / toxic + 1.0 / (n - toxic)) + F.lit(1e-12))
-    top = per.filter(F.col("clean") + F.col("toxic") >= MIN_COUNT).withColumn("z", beyond).filter(F.col("z") >= CHANCE).orderBy(F.desc("z"), "bucket").limit(FEATURES).toPandas()
+    top = per.filter(F.col("clean") + F.col("toxic") >= MIN_COUNT).withColumn("z", beyond).filter(F.col("z") >= CHANCE).orderBy(F.desc("z"), "bucket").limit(most).toPandas()
     if top.empty:
         return Model(none, none, float(np.log(toxic / (n - toxic))))
     ratio = np.log(((top.toxic + 1) / (toxic + 2)) / ((top.clean + 1) / (n - toxic + 2))).to_numpy(np.float64)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from roadloom.llm import fingerprints, html_wrappers, line_rules, lm_score, mixing, near_dedup, packing, quality_gbt, secret_scan, toxicity
+from roadloom.llm import fingerprints, html_wrappers, line_rules, lm_score, mixing, near_dedup, packing, quality_gbt, secret_scan, textnp, toxicity
 
 from .conftest import LONG, prose
 
@@ -62,6 +62,44 @@ class TestClassifiers:
         assert toxicity.op4_toxicity(none, labels).count() == 0
         assert toxicity.without_toxic(documents, labels).columns == documents.columns
 
+    def test_classifiers_without_labels_or_with_one_class(self, documents, labels, none):
+        for learn, column in ((quality_gbt.op1_quality, "quality"), (toxicity.op4_toxicity, "toxic")):
+            for rows in (labels.limit(0), labels.withColumn(column, F.lit(0)), labels.withColumn(column, F.lit(1)), labels.withColumn(column, F.lit(None).cast("int"))):
+                got = learn(documents, rows).toPandas()
+                assert len(got) == documents.count() and got.score.between(0, 1).all() and got.score.nunique() == 1
+            assert learn(none, labels).count() == 0
+
+    def test_toxicity_grams_by_brute_force(self):
+        texts = ["Grüße, Ærø 12!", "", "漢字かな交じり文", "aé", None, "ß" * 9]
+        data, begins = textnp.text_bytes(pa.array(texts))
+        seen, buckets = defaultdict(set), {}
+        for n, (owner, bucket) in zip(toxicity.GRAMS, toxicity.gram_buckets(data, begins), strict=True):
+            for t in range(len(texts)):
+                low = "".join(c.lower() if c.lower() not in "abcdefghijklmnopqrstuvwxyz" or c.isascii() else c for c in texts[t] or "")
+                padded = f" {''.join(c if c > chr(127) or c.isalpha() else ' ' for c in low)} "
+                want = [padded[i : i + n] for i in range(len(padded) - n + 1)]
+                assert len(want) == (owner == t).sum()
+                for g, b in zip(want, bucket[owner == t].tolist(), strict=True):
+                    assert buckets.setdefault(g, b) == b  # one run, one bucket
+                    seen[b].add(g)
+        assert len(seen) == len(buckets)  # no two of these few meet
+
+    def test_flattened_trees_by_plain_walk(self):
+        rng = np.random.default_rng(1)
+        x = rng.normal(size=(300, 5)).round(1)
+        forest = quality_gbt.grow(x, (x[:, 0] * x[:, 3] > 0.1).astype(float))
+
+        def walk(row):
+            z = forest.bias
+            for t in range(len(forest.column)):
+                node = 0
+                for _ in range(quality_gbt.DEPTH):
+                    node = 2 * node + 2 if row[forest.column[t, node]] > forest.limit[t, node] else 2 * node + 1
+                z += forest.value[t, node - (2**quality_gbt.DEPTH - 1)]
+            return 1 / (1 + np.exp(-z))
+
+        assert np.allclose(forest.score(x), [walk(r) for r in x]) and ((forest.score(x) > 0.5) == (x[:, 0] * x[:, 3] > 0.1)).mean() > 0.97
+
     def test_toxicity_learns_inflected_words(self, spark):
         bad = lambda i: prose(i, 60) + (f" grobian{'abcdefg'[i % 7]}ek " if i % 3 == 0 else " ") + prose(i + 5000, 30)
         docs = spark.createDataFrame([(i, bad(i)) for i in range(300)], "doc_id long, text string")
@@ -145,6 +183,28 @@ class TestNearCopies:
         want = {i: top(i) for i in range(len(root))}
         assert {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()} == want
 
+    def test_recall_by_likeness(self, spark):
+        """Every text whose id is divisible by 50 against all: links found by bands, by exact likeness. From 0.8 on none is lost."""
+        rng = np.random.default_rng(9)
+        rows = []
+        for f in range(40):
+            base = prose(9000 + f, 120).split()
+            for k in range(15):
+                text = list(base)
+                for at in rng.choice(len(text), k // 2, replace=False):
+                    text[at] = f"new{f}x{k}x{at}"
+                rows.append((len(rows), " ".join(text)))
+        rows += [(len(rows) + i, prose(20_000 + i, 100)) for i in range(200)]
+        got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        marks = [near_dedup.kmers(w) for w in near_dedup.texts_words(pa.array([t for _, t in rows]))]
+        curve = defaultdict(list)
+        for i in range(0, len(rows), 50):
+            for j in range(len(rows)):
+                likeness = near_dedup.aligned(marks[i], marks[j], 0.3) if i != j else 0
+                if likeness:
+                    curve[int(likeness * 10)].append(got[i] == got[j])
+        assert sum(map(len, curve.values())) > 40 and all(curve[8] + curve[9] + curve[10])
+
     def test_shared_kmers(self):
         rng = np.random.default_rng(2)
         marks = [np.unique(rng.integers(0, 60, n)).astype(np.uint64) for n in (30, 0, 12, 50)]
