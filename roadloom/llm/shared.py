@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 BATCH_BYTES = 4 << 20
+BATCH_ROWS = 2000
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -65,8 +66,12 @@ def ship(spark: SparkSession) -> None:
 
 def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
     """mapInArrow where function sees slices of about BATCH_BYTES (or one row, if that is longer) whatever size the session's
-    batches have; what a batch has used is given back before the next."""
-    ship(df.sparkSession)
+    batches have; what a batch has used is given back before the next. A session whose batches have the default of rows gets
+    smaller ones, as the JVM holds a batch too; results don't depend on it."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches):
         from roadloom.llm.textnp import release
