@@ -6,10 +6,11 @@ evaluation is Column expressions over it (or plain Python for tests), so a scan
 from __future__ import annotations
 
 import re
+from functools import reduce
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # The grammar's words.
@@ -298,8 +299,9 @@ def conditions_match(conditions: list[dict], at: datetime | None, vehicle: dict
 
 
 def wall_time(at: Column, zone: Column) -> Column:
-    """The local time of a UTC time; UTC where no zone is known."""
-    return F.from_utc_timestamp(at, F.coalesce(zone, F.lit("UTC")))
+    """The local time of a UTC time; UTC where no zone is given, or one that is not known."""
+    names = list(SparkSession.active()._jvm.java.time.ZoneId.getAvailableZoneIds())
+    return F.from_utc_timestamp(at, F.when(zone.isin(*names), zone).otherwise("UTC"))
 
 
 def _in(value: Column, low: Column, high: Column) -> Column:
@@ -345,3 +347,23 @@ def rules_column(rules: list[Rule]) -> Column:
 def overridden(values: Column, default: Column) -> Column:
     """Clauses apply in order, later ones override: of structs (matches, value) the value of the last that matches."""
     return F.coalesce(F.try_element_at(F.filter(values, lambda v: v["matches"]), F.lit(-1))["value"], default)
+
+
+def condition_holds(condition: dict, at: Column, vehicle: dict[str, Column]) -> Column:
+    """A parsed condition as a Column: opening hours at a local time, a measure of the vehicle against a number, or a use that
+    the vehicle has. A measure that is not known counts as 0, a use that is not known as none."""
+    if condition["kind"] == "hours":
+        rules = [r if isinstance(r, Rule) else Rule(**r) for r in condition["rules"]]
+        return hours(rules_column(rules), at)
+    if condition["kind"] == "compare":
+        have, number = F.coalesce(vehicle.get(condition["name"], F.lit(0)).cast("double"), F.lit(0.0)), F.lit(float(condition["number"]))
+        return {"<": have < number, "<=": have <= number, ">": have > number, ">=": have >= number, "=": have == number}[condition["op"]]
+    return F.coalesce(vehicle.get(condition["name"], F.lit(False)), F.lit(False)) if condition["kind"] == "usage" else F.lit(False)
+
+
+def conditional_value(clauses: list[dict], at: Column, vehicle: dict[str, Column], default: Column) -> Column:
+    """What the clauses of a tag set at a time for a vehicle: the value of the last whose conditions all hold, else the default."""
+    if not clauses:
+        return default
+    both = lambda c: reduce(Column.__and__, [condition_holds(x, at, vehicle) for x in c["conditions"]], F.lit(True))
+    return overridden(F.array(*[F.struct(both(c).alias("matches"), F.lit(c["value"]).alias("value")) for c in clauses]), default)

@@ -32,7 +32,8 @@ def admitted_ways(ways: DataFrame, relations: DataFrame | None = None) -> DataFr
     use, and open to someone."""
     t = Tags(F.col("tags"))
     rows = ways.filter((F.size("refs") >= 2) & (~t.elevator | (F.element_at("refs", 1) == F.element_at("refs", -1))) & ~(t.landuse & (t["highway"] == "") & ~t.parking))
-    rows = rows.select("way", "refs", "tags", *[c.alias(n) for n, c in t.way_properties().items()])
+    trucks = {"access_forward": "hgv_access_forward", "access_backward": "hgv_access_backward", "maxspeed_kmh": "hgv_maxspeed_kmh"}
+    rows = rows.select("way", "refs", "tags", *[c.alias(n) for n, c in t.way_properties().items()], *[c.alias(trucks.get(n, n)) for n, c in t.hgv_info().items()])
     if relations is not None:
         extra = relations.select("way", F.col("in_route").alias("_in_route"), F.col("detour").alias("_detour"))
         rows = rows.join(extra, "way", "left").withColumn("in_route", F.col("in_route") | F.coalesce("_in_route", F.lit(False))).withColumn("detour", F.col("detour") | F.coalesce("_detour", F.lit(False))).drop("_in_route", "_detour")

@@ -46,6 +46,20 @@ def bearings(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select("way", "pos", "node", to(F.lag).alias("to_prev"), to(F.lead).alias("to_next"))
 
 
+def polyline_bearings(geometry: DataFrame, way_nodes: DataFrame) -> DataFrame:
+    """way, pos, node with the quantized bearings along the way's polyline: to the nearest points before and after that lie
+    elsewhere, whether they are graph nodes or not; 0 where there is none. geometry: way, seq, lat, lng; way_nodes: way, pos,
+    node, seq."""
+    order = Window.partitionBy("way").orderBy("seq")
+    moved = F.coalesce((F.lag("lat").over(order) != F.col("lat")) | (F.lag("lng").over(order) != F.col("lng")), F.lit(False))
+    rows = geometry.select("way", "seq", "lat", "lng", moved.cast("int").alias("_moved")).withColumn("_run", F.sum("_moved").over(order))
+    by_run = Window.partitionBy("way").orderBy("_run")
+    places = rows.groupBy("way", "_run").agg(F.first("lat").alias("lat"), F.first("lng").alias("lng"))
+    to = lambda side: F.coalesce(quantized_angle(bearing(F.col("lat"), F.col("lng"), side("lat").over(by_run), side("lng").over(by_run))), F.lit(0))
+    told = places.select("way", "_run", to(F.lag).alias("to_prev"), to(F.lead).alias("to_next"))
+    return way_nodes.join(rows.select("way", "seq", "_run"), ["way", "seq"]).join(told, ["way", "_run"]).select("way", "pos", "node", "to_prev", "to_next")
+
+
 def turns(edges: DataFrame, angles: DataFrame) -> DataFrame:
     """Pairs of an edge into a node and one out of it, with the angle between: node, from_way, from_pos, from_forward, to_way, to_pos, to_forward, angle."""
     at = lambda prefix: angles.select(F.col("way").alias(f"{prefix}_way"), F.col("pos").alias(f"{prefix}_pos"), F.col("to_prev").alias(f"{prefix}_prev"), F.col("to_next").alias(f"{prefix}_next"))
@@ -88,27 +102,28 @@ def way_positions(passes: DataFrame) -> DataFrame:
     return passes.groupBy("node", "way").agg(F.min("way_pos").alias("way_pos"))
 
 
-#: Steps from node to way that a round of components() takes before its labels are written.
-HOPS = 3
-
-
 def components(way_nodes: DataFrame) -> DataFrame:
-    """way, component: the least way of each connected component. Ways take the least label of their nodes, nodes of their
-    ways, and labels jump to their label's label, so rounds grow with the logarithm of the span."""
-    pairs = kept(way_nodes.select("way", "node").distinct(), "pairs")
-    labels = kept(pairs.select("way").distinct().withColumn("component", F.col("way")), "labels")
+    """way, component: the least way of each connected component. Each way is linked to the least way of each of its nodes, so
+    there are no more links than places; then links contract to stars: in turn the larger and the smaller neighbours of a way go
+    to its least one, so the depth falls by a factor a round and the table of links never grows beyond its first size."""
+    places = way_nodes.select("way", "node").distinct()
+    low = places.groupBy("node").agg(F.min("way").alias("other"))
+    links = kept(places.join(low, "node").select("way", "other").filter("way <> other").distinct(), "links")
     while True:
-        hop = labels
-        for _ in range(HOPS):
-            at_node = pairs.join(hop, "way").groupBy("node").agg(F.min("component").alias("low"))
-            hop = pairs.join(at_node, "node").groupBy("way").agg(F.min("low").alias("component"))
-        lower = kept(hop, "lower")
-        jump = lower.select(F.col("way").alias("component"), F.col("component").alias("lowest"))
-        new = lower.join(jump, "component", "left").select("way", F.least("component", F.coalesce("lowest", "component")).alias("component"))
-        new = kept(new.join(labels.withColumnRenamed("component", "before"), "way").withColumn("moved", F.col("component") != F.col("before")), "labels")
-        moved = not new.filter("moved").isEmpty()
-        drop(labels)
-        drop(lower)
-        labels = new.select("way", "component")
-        if not moved:
-            return labels
+        both = links.union(links.select(F.col("other").alias("way"), F.col("way").alias("other")))
+        least = both.groupBy("way").agg(F.min("other").alias("least")).withColumn("least", F.least("way", "least"))
+        large = both.filter("other > way").join(least, "way").select(F.col("other").alias("way"), F.col("least").alias("other")).distinct()
+        large = kept(large, "stars")
+        least = large.groupBy("way").agg(F.min("other").alias("least"))
+        small = large.join(least, "way").select(F.when(F.col("other") == F.col("least"), F.col("way")).otherwise(F.col("other")).alias("way"), F.col("least").alias("other"))
+        small = kept(small.filter("way <> other").distinct(), "stars")
+        drop(links)
+        drop(large)
+        links = small
+        ends = small.groupBy("way").agg(F.count(F.lit(1)).alias("many")).select("way", "many", F.lit(0).alias("root"))
+        roots = small.select(F.col("other").alias("way")).distinct().select("way", F.lit(0).cast("long").alias("many"), F.lit(1).alias("root"))
+        open_ = ends.union(roots).groupBy("way").agg(F.sum("many").alias("many"), F.sum("root").alias("root"))
+        if open_.filter("many > 1 or (root > 0 and many > 0)").isEmpty():
+            return places.select("way").distinct().join(small, "way", "left").select("way", F.coalesce("other", "way").alias("component"))
+
+

@@ -12,6 +12,8 @@ from ..functions.costs import Profile, turn_cost
 from ..plans.tables import drop, kept, sized
 
 LEAST_BUDGET = 900
+#: Steps that a round takes before its labels are written; each step's exchange feeds the next one twice.
+HOPS = 3
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -35,16 +37,18 @@ def search(edges: DataFrame, starts: DataFrame, max_cost: int | None = None, bou
     keep = lambda rows: reach(rows).filter(bound) if bound is not None else reach(rows)
     first = keep(starts.groupBy("query", "state").agg(F.min("cost").cast("long").alias("cost")))
     best = kept(first.withColumn("moved", F.lit(True)), "labels")
-    while True:
-        frontier = best.filter("moved")
-        if frontier.isEmpty():
-            return best.drop("moved")
-        found = frontier.join(steps, frontier.state == steps.src).select("query", F.col("dst").alias("state"), (F.col("cost") + F.col("step")).alias("cost"), F.lit(None).cast("long").alias("known"))
-        both = keep(found).union(best.select("query", "state", "cost", F.col("cost").alias("known")))
-        new = both.groupBy("query", "state").agg(F.min("cost").alias("cost"), F.min("known").alias("known"))
-        new = kept(new.select("query", "state", "cost", (F.col("known").isNull() | (F.col("cost") < F.col("known"))).alias("moved")), "labels")
+    while not best.filter("moved").isEmpty():
+        new = best
+        for _ in range(HOPS):
+            frontier = new.filter("moved")
+            found = frontier.join(steps, frontier.state == steps.src).select("query", F.col("dst").alias("state"), (F.col("cost") + F.col("step")).alias("cost"), F.lit(None).cast("long").alias("known"))
+            both = keep(found).union(new.select("query", "state", "cost", F.col("cost").alias("known")))
+            new = both.groupBy("query", "state").agg(F.min("cost").alias("cost"), F.min("known").alias("known"))
+            new = new.select("query", "state", "cost", (F.col("known").isNull() | (F.col("cost") < F.col("known"))).alias("moved"))
+        new = kept(new, "labels")
         drop(best)
         best = new
+    return best.drop("moved")
 
 
 def predecessors(labels: DataFrame, edges: DataFrame) -> DataFrame:

@@ -87,10 +87,9 @@ def _(n):
     return graph.restrictions(_signs(n), n.way_nodes)
 
 
-@query("turn_pairs_allowed", _FORBIDDEN + ", p as (select distinct node, way from way_nodes where node % 10 = 0) select a.node, a.way as from_way, b.way as to_way from p a join p b using (node) where not exists (select 1 from forbidden f where f.node = a.node and f.from_way = a.way and f.to_way = b.way)")
+@query("turn_pairs_allowed", _FORBIDDEN + ", p as (select distinct node, way from way_nodes) select a.node, a.way as from_way, b.way as to_way from p a join p b using (node) where not exists (select 1 from forbidden f where f.node = a.node and f.from_way = a.way and f.to_way = b.way)")
 def _(n):
-    part = n.way_nodes.filter("node % 10 = 0")
-    return graph.allowed_turns(part, graph.restrictions(_signs(n), n.way_nodes))
+    return graph.allowed_turns(n.way_nodes, graph.restrictions(_signs(n), n.way_nodes))
 
 
 _BEARING = "(degrees(atan2(sin(radians({b}.lng - {a}.lng)) * cos(radians({b}.lat)), cos(radians({a}.lat)) * sin(radians({b}.lat)) - sin(radians({a}.lat)) * cos(radians({b}.lat)) * cos(radians({b}.lng - {a}.lng)))) + 360) % 360"
@@ -111,8 +110,10 @@ def _(n):
 
 @query(
     "components",
-    """wn as materialized (select distinct way, node from way_nodes where way % 100 = 0),
-adj as materialized (select distinct a.way as u, b.way as v from wn a join wn b using (node)),
+    """wn as materialized (select distinct way, node from way_nodes),
+low as (select node, min(way) as low from wn group by node),
+pairs as (select distinct way as u, low as v from wn join low using (node) where way <> low),
+adj as materialized (select u, v from pairs union all select v, u from pairs),
 r(way, component) using key (way) as (
   select distinct way, way from wn
   union
@@ -121,7 +122,7 @@ r(way, component) using key (way) as (
 select way, component from r""",
 )
 def _(n):
-    return graph.components(n.way_nodes.filter("way % 100 = 0"))
+    return graph.components(n.way_nodes)
 
 
 def _relation_merge(spark, sf_dir):
@@ -376,9 +377,9 @@ QUERIES["radius_doubling"] = _radius_doubling
 SQL["radius_doubling"] = f"with recursive {NETWORK_SQL}, {_NEAR.format(radius=800)}, d as (select point, distance, greatest(ceil(log2(greatest(distance / 50.0::double, 1e-9::double))), 0)::int as doubling from near where way % 400 = 0), m as (select point, min(doubling) as need from d group by point) select point, need, count(*) as ways from d join m using (point) where doubling <= need group by all"
 
 
-@query("bbox_ways", "pieces as (select s.way, p.lat as lat_a, p.lng as lng_a, q.lat as lat_b, q.lng as lng_b from segments s join nodes p on p.node = s.a join nodes q on q.node = s.b where s.b is not null and s.way % 20 = 0) select way from pieces group by way having min(least(lat_a, lat_b)) <= 48.1 and max(greatest(lat_a, lat_b)) >= 48.0 and min(least(lng_a, lng_b)) <= 9.0 and max(greatest(lng_a, lng_b)) >= 9.0")
+@query("bbox_ways", "pieces as (select s.way, p.lat as lat_a, p.lng as lng_a, q.lat as lat_b, q.lng as lng_b from segments s join nodes p on p.node = s.a join nodes q on q.node = s.b where s.b is not null) select way from pieces group by way having min(least(lat_a, lat_b)) <= 48.1 and max(greatest(lat_a, lat_b)) >= 48.0 and min(least(lng_a, lng_b)) <= 9.0 and max(greatest(lng_a, lng_b)) >= 9.0")
 def _(n):
-    return lookup.ways_in_box(_segments(n), 48.0, 48.1, 9.0, 9.0)
+    return lookup.ways_in_box(lookup.way_segments(n.way_nodes, n.nodes), 48.0, 48.1, 9.0, 9.0)
 
 
 @query("levels_in_bbox", "select distinct level from nodes where lat between 48.1 and 48.3 and lng between 9.0 and 9.5")
@@ -393,10 +394,10 @@ def _(n):
 
 # matching
 
-_TRACE = "trace as (select user_id as trace, row_number() over (partition by user_id order by ts, event_id) - 1 as seq, event_id % (select count(*) from part) as point from events where user_id % 10 = 0)"
+_TRACE = "trace as (select user_id as trace, row_number() over (partition by user_id order by ts, event_id) - 1 as seq, event_id % (select count(*) from part) as point from events)"
 
 
-def _trace(spark, sf_dir, users="user_id % 10 = 0"):
+def _trace(spark, sf_dir, users="user_id is not null"):
     from pyspark.sql import Window
 
     n = spark.read.parquet(f"{sf_dir}/part.parquet").count()
@@ -410,7 +411,7 @@ SQL["trace_pairs"] = f"with {_TRACE}, p as (select trace, seq as segment, point
 _CANDIDATES = "cands as (select trace, seq, c as candidate, abs(point * 7 + c * 13) % 40 as distance from trace, range(3) t(c))"
 
 
-def _candidates(spark, sf_dir, users="user_id % 10 = 0"):
+def _candidates(spark, sf_dir, users="user_id is not null"):
     rows = _trace(spark, sf_dir, users).withColumn("candidate", F.explode(F.array(*[F.lit(c).cast("long") for c in range(3)])))
     return rows.select("trace", "seq", "point", "candidate", (F.abs(F.col("point") * 7 + F.col("candidate") * 13) % 40).alias("distance"))
 
