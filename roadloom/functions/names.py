@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from enum import Enum
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from .costs import Profile, bike, bus, car, ferry, foot, hgv, railway
 
 # Profile names, and what each is built from.
@@ -49,5 +52,14 @@ def encode_id(osm_id: int) -> int:
     return osm_id if osm_id >= 0 else SIGN | (-(osm_id + 1))
 
 
+def id_code(osm_id: Column) -> Column:
+    """encode_id as a Column: the code's bits as a signed number."""
+    return F.when(osm_id >= 0, osm_id).otherwise(F.bitwise_not(osm_id).bitwiseOR(F.lit(-SIGN).cast("long")))
+
+
+def id_of_code(code: Column) -> Column:
+    return F.when(code >= 0, code).otherwise(F.bitwise_not(code.bitwiseAND(F.lit(SIGN - 1).cast("long"))))
+
+
 def decode_id(code: int) -> int:
     return -(code & (SIGN - 1)) - 1 if code & SIGN else code

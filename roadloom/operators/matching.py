@@ -1,13 +1,14 @@
-"""Map matching of traces: candidates by point, transitions between neighbours, and the best chain (Viterbi), for all traces
-at once: the round for segment k moves every trace that has one."""
+"""Map matching of traces: candidates by point, transitions between neighbours, and the best chain (Viterbi). Traces are read as
+streams of their points in order, many a task, so no work waits for the longest trace and a task holds one trace's choices."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.tables import kept
-
 NOT_NEAREST = 30
 #: Straight-line distance in metres up to which a limit factor holds, and the factor; the last is for all beyond.
 LIMITS = ((2000.0, 10.0), (10000.0, 4.0), (None, 3.0))
@@ -38,38 +39,42 @@ def limit_m(beeline):
 def viterbi(states: DataFrame, transitions: DataFrame) -> DataFrame:
     """trace, seq, candidate of the cheapest chain. states: trace, seq, candidate, penalty; transitions: trace, seq (of the
     earlier point), candidate, next, cost. A point that no transition reaches starts anew (a beeline), so each trace gets
-    through; ties go to the least candidate."""
-    last = states.agg(F.max("seq")).first()[0]
-    if last is None:
-        return states.select("trace", "seq", "candidate")
-    at = kept(states.filter("seq = 0").select("trace", "seq", "candidate", F.col("penalty").alias("cost"), F.lit(None).cast("long").alias("before")), "chain")
-    done = [at]
-    for seq in range(1, last + 1):
-        move = transitions.filter(F.col("seq") == seq - 1).join(at.select("trace", "candidate", F.col("cost").alias("so_far")), ["trace", "candidate"])
-        arrive = move.groupBy("trace", F.col("next").alias("candidate")).agg(F.min(F.struct(F.col("so_far") + F.col("cost"), F.col("candidate"))).alias("m"))
-        arrive = arrive.select("trace", "candidate", F.col("m.col1").alias("reach"), F.col("m.candidate").alias("before"))
-        here = states.filter(F.col("seq") == seq)
-        jump = at.groupBy("trace").agg(F.min(F.struct("cost", "candidate")).alias("j"))
-        rows = here.join(arrive, ["trace", "candidate"], "left").join(jump, "trace")
-        whole = F.max(F.col("reach").isNotNull()).over(Window.partitionBy("trace"))
-        rows = rows.withColumn("any", whole)
-        cost = F.when(F.col("any"), F.col("reach")).otherwise(F.col("j.cost"))
-        before = F.when(F.col("any"), F.col("before")).otherwise(F.col("j.candidate"))
-        at = kept(rows.select("trace", "seq", "candidate", (cost + F.col("penalty")).alias("cost"), before.alias("before")).filter("cost is not null"), "chain")
-        done.append(at)
-    ends = done[0]
-    for part in done[1:]:
-        ends = ends.union(part)
-    final = states.groupBy("trace").agg(F.max("seq").alias("seq"))
-    best = kept(ends.join(final, ["trace", "seq"]).groupBy("trace", "seq").agg(F.min(F.struct("cost", "candidate", "before")).alias("b")).select("trace", "seq", "b.candidate", "b.before"), "best")
-    out = best.select("trace", "seq", "candidate")
-    for seq in range(last, 0, -1):
-        ended = best.filter(F.col("seq") == seq)
-        step = ended.select("trace", (F.col("seq") - 1).alias("seq"), F.col("before").alias("candidate")).join(done[seq - 1].select("trace", "candidate", "before"), ["trace", "candidate"])
-        step = kept(step.select("trace", "seq", "candidate", "before"), "best")
-        out = out.union(step.select("trace", "seq", "candidate"))
-        best = kept(best.filter(F.col("seq") != seq).union(step), "best")
-    return out
+    through; ties go to the least candidate. The candidates and moves of a point are one row; points of a trace meet in one
+    task in order, which keeps the cost of each candidate and, for the way back, whence each was reached."""
+    points = states.groupBy("trace", "seq").agg(F.array_sort(F.collect_list(F.struct("candidate", "penalty"))).alias("here"))
+    moves = transitions.groupBy("trace", (F.col("seq") + 1).alias("seq")).agg(F.collect_list(F.struct("candidate", "next", "cost")).alias("moves"))
+    rows = points.join(moves, ["trace", "seq"], "left").select(F.col("trace").cast("long"), F.col("seq").cast("long"), "here.candidate", "here.penalty", F.col("moves.candidate").alias("came"), F.col("moves.next").alias("goes"), F.col("moves.cost").alias("cost"))
+    ordered = rows.repartition("trace").sortWithinPartitions("trace", "seq")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trace, costs, back = None, {}, []
+
+        def chosen() -> pa.RecordBatch:
+            at, path = min((c, k) for k, c in costs.items())[1], []
+            for _, came in reversed(back):
+                path.append(at)
+                at = came.get(at)
+            return pa.RecordBatch.from_arrays([pa.array([trace] * len(back), pa.int64()), pa.array([seq for seq, _ in back], pa.int64()), pa.array(path[::-1], pa.int64())], names=["trace", "seq", "candidate"])
+
+        for batch in batches:
+            for of, seq, candidates, penalties, came, goes, price in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if of != trace:
+                    if back:
+                        yield chosen()
+                    trace, costs, back = of, {}, []
+                reach: dict = {}
+                for a, b, c in zip(came or (), goes or (), price or (), strict=True):
+                    if a in costs and b in candidates and (b not in reach or (costs[a] + c, a) < reach[b]):
+                        reach[b] = (costs[a] + c, a)
+                if not reach:  # the first point, or a gap: any candidate, from the cheapest before
+                    start = min(((c, k) for k, c in costs.items()), default=(0, None))
+                    reach = dict.fromkeys(candidates, start)
+                costs = {k: reach[k][0] + p for k, p in zip(candidates, penalties, strict=True) if k in reach}
+                back.append((seq, {k: reach[k][1] for k in costs}))
+        if back:
+            yield chosen()
+
+    return ordered.mapInArrow(walk, "trace long, seq long, candidate long")
 
 
 def counters(segments: DataFrame) -> DataFrame:

@@ -421,13 +421,28 @@ SQL["emission_penalty"] = f"with {_TRACE}, {_CANDIDATES} select trace, seq, cand
 
 
 def _viterbi(spark, sf_dir):
-    states = _kept(matching.emission(_candidates(spark, sf_dir, "user_id is not null"), 4.0).select("trace", "seq", "candidate", "penalty"))
+    states = matching.emission(_candidates(spark, sf_dir), 4.0).select("trace", "seq", "candidate", "penalty")
     moves = states.select("trace", "seq", "candidate").join(states.select("trace", (F.col("seq") - 1).alias("seq"), F.col("candidate").alias("next")), ["trace", "seq"])
     moves = moves.withColumn("cost", (F.col("trace") + F.col("candidate") * 5 + F.col("next") * 3 + F.col("seq")) % 17).filter("(trace + seq) % 11 <> 0")
-    return matching.viterbi(states, _kept(moves))
+    return matching.viterbi(states, moves)
 
 
 QUERIES["viterbi_match"] = _viterbi
+# A step holds the three candidates' costs and paths so far; of equal costs the least candidate is the one before.
+_REACH = "list_min([struct_pack(c := costs[1] + {m0}, k := 0), struct_pack(c := costs[2] + {m1}, k := 1), struct_pack(c := costs[3] + {m2}, k := 2)])"
+_MOVE = "(r.trace + {c} * 5 + {n} * 3 + r.seq) % 17"
+_BEST = "list_min([struct_pack(c := costs[1], k := 0), struct_pack(c := costs[2], k := 1), struct_pack(c := costs[3], k := 2)])"
+_INTO = ", ".join(f"case when (r.trace + r.seq) % 11 <> 0 then {_REACH.format(**{f'm{c}': _MOVE.format(c=c, n=n) for c in range(3)})} else {_BEST} end as b{n}" for n in range(3))
+SQL["viterbi_match"] = f"""with recursive {_TRACE}, {_CANDIDATES},
+scored as (select trace, seq, candidate, round((distance / 4.0::double) * (distance / 4.0::double))::bigint + case when row_number() over (partition by trace, seq order by distance, candidate) = 1 then 0 else 30 end as penalty from cands),
+points as materialized (select trace, seq, list(penalty order by candidate) as p from scored group by trace, seq),
+r(trace, seq, costs, paths) as (
+  select trace, seq, p, [[0], [1], [2]] from points where seq = 0
+  union all
+  select trace, seq, [b0.c + p[1], b1.c + p[2], b2.c + p[3]], [list_append(paths[b0.k + 1], 0), list_append(paths[b1.k + 1], 1), list_append(paths[b2.k + 1], 2)]
+  from (select r.trace, n.seq, n.p, r.paths, {_INTO} from r join points n on n.trace = r.trace and n.seq = r.seq + 1)),
+ends as (select *, {_BEST} as b from r where (trace, seq) in (select trace, max(seq) from points group by trace))
+select trace, unnest(range(seq + 1)) as seq, unnest(paths[b.k + 1]) as candidate from ends"""
 
 
 def _quantiles(spark, sf_dir):
