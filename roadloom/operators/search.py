@@ -26,19 +26,25 @@ def without(edges: DataFrame, blocked: DataFrame) -> DataFrame:
     return edges.join(blocked.select(F.col("node").alias("dst")), "dst", "left_anti")
 
 
-def search(edges: DataFrame, starts: DataFrame, max_cost: int | None = None, bound: Column | None = None) -> DataFrame:
+def search(edges: DataFrame, starts: DataFrame, max_cost: int | None = None, bound: Column | None = None, targets: DataFrame | None = None) -> DataFrame:
     """query, state, cost: the least cost of every state within reach.
 
     edges: src, dst, cost. starts: query, state, cost. Only costs below max_cost are kept. bound, over state and cost, drops
-    labels that cannot matter, as a goal-directed search does. A round is one join and one hash aggregate over plain numbers;
+    labels that cannot matter, as a goal-directed search does. With targets (query, state) labels move on only while some target
+    of their query is unreached or could still get a lesser cost, and only costs of targets are told for certain. A round is one join and one hash aggregate over plain numbers;
     which state stands before another is told afterwards, by predecessors()."""
     steps = sized(kept(edges.groupBy("src", "dst").agg(F.min("cost").alias("step")), "edges"))
     reach = lambda rows: rows.filter(F.col("cost") < max_cost) if max_cost is not None else rows
     keep = lambda rows: reach(rows).filter(bound) if bound is not None else reach(rows)
+    wanted = kept(targets.select("query", "state").distinct(), "targets") if targets is not None else None
     first = keep(starts.groupBy("query", "state").agg(F.min("cost").cast("long").alias("cost")))
     best = kept(first.withColumn("moved", F.lit(True)), "labels")
     while not best.filter("moved").isEmpty():
         new = best
+        if wanted is not None:
+            told = best.join(wanted, ["query", "state"]).groupBy("query").agg(F.max("cost").alias("far"), F.count(F.lit(1)).alias("have"))
+            done = told.join(wanted.groupBy("query").agg(F.count(F.lit(1)).alias("want")), "query").filter("have = want").select("query", "far")
+            new = best.join(done, "query", "left").withColumn("moved", F.col("moved") & (F.col("far").isNull() | (F.col("cost") < F.col("far")))).drop("far")
         for _ in range(HOPS):
             frontier = new.filter("moved")
             found = frontier.join(steps, frontier.state == steps.src).select("query", F.col("dst").alias("state"), (F.col("cost") + F.col("step")).alias("cost"), F.lit(None).cast("long").alias("known"))
@@ -101,7 +107,8 @@ def by_node(found: DataFrame, edges: DataFrame) -> DataFrame:
 
 def one_to_many(edges: DataFrame, starts: DataFrame, targets: DataFrame, max_cost: int | None = None) -> DataFrame:
     """query, node, cost of each wanted node that is reached."""
-    return search(edges, starts, max_cost).join(targets.select("query", F.col("node").alias("state")), ["query", "state"]).select("query", F.col("state").alias("node"), "cost")
+    wanted = targets.select("query", F.col("node").alias("state"))
+    return search(edges, starts, max_cost, targets=wanted).join(wanted, ["query", "state"]).select("query", F.col("state").alias("node"), "cost")
 
 
 def bidirectional(edges: DataFrame, pairs: DataFrame, max_cost: int) -> DataFrame:

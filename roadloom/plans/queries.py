@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import costs, scalars
-from ..operators import graph, lookup, matching, paths, search
+from ..operators import graph, levels, lookup, matching, modes, paths, search
 from .network import NETWORK_SQL, Network, network
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -273,11 +273,9 @@ moves as (
 @query("car_parking_sssp", _search_sql(_PARK, "select min(node) as query, min(node) * 2 as state, 0 as cost from nodes") + " select query, state // 2 as node, state % 2 = 1 as walking, cost from r")
 def _(n):
     ride, walk = (search.node_states(_priced(n, p)) for p in (costs.car(), costs.foot()))
-    mode = lambda rows, m: rows.select((F.col("src") * 2 + m).alias("src"), (F.col("dst") * 2 + m).alias("dst"), "cost")
-    switch = n.nodes.filter("parking").select((F.col("node") * 2).alias("src"), (F.col("node") * 2 + 1).alias("dst"), F.lit(200).cast("long").alias("cost"))
     starts = n.nodes.agg(F.min("node").alias("query")).select("query", (F.col("query") * 2).alias("state"), F.lit(0).cast("long").alias("cost"))
-    found = search.search(mode(ride, 0).union(mode(walk, 1)).union(switch), starts)
-    return found.select("query", F.floor(F.col("state") / 2).alias("node"), (F.col("state") % 2 == 1).alias("walking"), "cost")
+    found = modes.parts_of(search.search(modes.ride_then_walk(ride, walk, n.nodes.filter("parking")), starts), 2)
+    return found.select("query", "node", (F.col("part") == 1).alias("walking"), "cost")
 
 
 _SHARE = f"""{_JOINED}, walk as (select src, dst, ({_COSTS['foot'][0]} + {_COSTS['foot'][2]})::bigint as cost from e), ride as (select src, dst, ({_COSTS['bike'][0]} + {_COSTS['bike'][2]})::bigint as cost from e),
@@ -292,12 +290,60 @@ moves as (
 @query("sharing_sssp", _search_sql(_SHARE, "select min(node) as query, min(node) * 3 as state, 0 as cost from nodes") + " select query, state // 3 as node, state % 3 as phase, cost from r")
 def _(n):
     walk, ride = (search.node_states(_priced(n, p)) for p in (costs.foot(), costs.bike()))
-    phase = lambda rows, m: rows.select((F.col("src") * 3 + m).alias("src"), (F.col("dst") * 3 + m).alias("dst"), "cost")
-    switch = lambda rows, m: rows.select((F.col("node") * 3 + m).alias("src"), (F.col("node") * 3 + m + 1).alias("dst"), F.lit(30).cast("long").alias("cost"))
-    edges = phase(walk, 0).union(phase(ride, 1)).union(phase(walk, 2)).union(switch(n.nodes.filter("node % 5 = 0"), 0)).union(switch(n.nodes.filter("node % 3 = 0"), 1))
+    edges = modes.shared(walk, ride, n.nodes.filter("node % 5 = 0"), n.nodes.filter("node % 3 = 0"))
     starts = n.nodes.agg(F.min("node").alias("query")).select("query", (F.col("query") * 3).alias("state"), F.lit(0).cast("long").alias("cost"))
-    found = search.search(edges, starts)
-    return found.select("query", F.floor(F.col("state") / 3).alias("node"), (F.col("state") % 3).alias("phase"), "cost")
+    return modes.parts_of(search.search(edges, starts), 3).withColumnRenamed("part", "phase")
+
+
+_CLOSED = _SHARE.replace("from ride where cost is not null", "from ride where cost is not null and dst % 6 <> 1")
+_DROPPED = _PARK.replace("from nodes where parking)", "from nodes)")
+
+
+@query("sharing_closed_sssp", _search_sql(_CLOSED, "select min(node) as query, min(node) * 3 as state, 0 as cost from nodes") + " select query, state // 3 as node, state % 3 as phase, cost from r")
+def _(n):
+    walk, ride = (search.node_states(_priced(n, p)) for p in (costs.foot(), costs.bike()))
+    edges = modes.shared(walk, ride, n.nodes.filter("node % 5 = 0"), n.nodes.filter("node % 3 = 0"), n.nodes.filter("node % 6 = 1"))
+    starts = n.nodes.agg(F.min("node").alias("query")).select("query", (F.col("query") * 3).alias("state"), F.lit(0).cast("long").alias("cost"))
+    return modes.parts_of(search.search(edges, starts), 3).withColumnRenamed("part", "phase")
+
+
+@query("car_dropoff_sssp", _search_sql(_DROPPED, "select min(node) as query, min(node) * 2 as state, 0 as cost from nodes") + " select query, state // 2 as node, state % 2 = 1 as walking, cost from r")
+def _(n):
+    ride, walk = (search.node_states(_priced(n, p)) for p in (costs.car(), costs.foot()))
+    starts = n.nodes.agg(F.min("node").alias("query")).select("query", (F.col("query") * 2).alias("state"), F.lit(0).cast("long").alias("cost"))
+    found = modes.parts_of(search.search(modes.ride_then_walk(ride, walk, n.nodes), starts), 2)
+    return found.select("query", "node", (F.col("part") == 1).alias("walking"), "cost")
+
+
+@query("virtual_edges_sssp", _search_sql(_cost_sql("foot") + ", moves as (select src, dst, cost from priced union all select node, node + 13, 5 from nodes where node % 50 = 1)", _FIRST) + " select query, state, cost from r")
+def _(n):
+    extra = n.nodes.filter("node % 50 = 1").select(F.col("node").alias("src"), (F.col("node") + 13).alias("dst"), F.lit(5).alias("cost"))
+    return search.search(modes.with_extra(search.node_states(_priced(n, costs.foot())), extra), _starts(n, ""))
+
+
+# Codes of levels: none, ground and four quarters of a level apart; lifts stop at two levels of their own.
+_LEVEL_WAYS = "lw as (select way, case when way % 4 = 0 then 0 else 33 + way % 3 * 4 end as fl, case when way % 4 = 0 then 0 else 33 + (way % 3 + case when steps or way % 19 = 0 then 1 else 0 end) * 4 end as tl, steps or way % 19 = 0 as swaps, case when way % 53 = 0 then (select min(w.node) from way_nodes w where w.way = ways.way) end as first from ways)"
+_LIFTS = "lifts as (select node, [33 + level * 4, 33 + (level + 1) * 4] as stops from nodes where elevator)"
+_SERVES = "({l} is not null and ({c} = 0 or coalesce(list_contains({l}, {c}), false)))"
+_LEVEL_MOVES = f"""{_cost_sql('foot')}, {_LEVEL_WAYS}, {_LIFTS},
+le as (select p.src, p.dst, p.cost, lw.*, f.stops as way_lift, s.stops as src_lift, d.stops as dst_lift from priced p join lw using (way) left join lifts f on f.node = lw.first left join lifts s on s.node = p.src left join lifts d on d.node = p.dst),
+stands as (select distinct src as node, unnest([fl, tl, 0]) as lvl from le union select node, unnest(stops) from lifts),
+told as (select le.*, lvl, case when swaps then case when fl = 0 and tl = 0 then 0 when lvl = 0 then case when fl = 33 then tl else fl end when fl = lvl then tl when tl = lvl then fl end
+  else case when {_SERVES.format(l='way_lift', c='lvl')} then lvl when {_SERVES.format(l='src_lift', c='fl')} and {_SERVES.format(l='src_lift', c='lvl')} then fl when fl = lvl or fl = 0 or lvl = 0 then fl end end as after from le join stands on stands.node = le.src),
+spread as (select src, dst, cost, lvl, unnest(case when {_SERVES.format(l='dst_lift', c='lvl')} then dst_lift else [after] end) as target from told),
+moves as (select src * 64 + lvl as src, dst * 64 + target as dst, cost from spread where target is not null)"""
+
+
+@query("sssp_foot_levels", _search_sql(_LEVEL_MOVES, "select min(node) as query, min(node) * 64 + 33 as state, 0 as cost from nodes") + " select query, state // 64 as node, state % 64 as level, cost from r")
+def _(n):
+    flights = F.expr("steps or way % 19 = 0")
+    first = n.way_nodes.groupBy("way").agg(F.min("node").alias("first"))
+    code = lambda more: F.when(F.col("way") % 4 == 0, 0).otherwise(33 + (F.col("way") % 3 + more) * 4).cast("int")
+    ways = n.ways.join(first, "way").select("way", code(F.lit(0)).alias("from_level"), code(flights.cast("int")).alias("to_level"), flights.alias("swaps"), F.when(F.col("way") % 53 == 0, F.col("first")).alias("first"))
+    lifts = n.nodes.filter("elevator").select("node", F.array(33 + F.col("level") * 4, 33 + (F.col("level") + 1) * 4).cast("array<int>").alias("stops"))
+    starts = n.nodes.agg(F.min("node").alias("query")).select("query", (F.col("query") * levels.CODES + levels.GROUND).alias("state"), F.lit(0).cast("long").alias("cost"))
+    found = search.search(levels.level_states(_priced(n, costs.foot()), ways, lifts), starts)
+    return found.select("query", F.floor(F.col("state") / levels.CODES).alias("node"), (F.col("state") % levels.CODES).alias("level"), "cost")
 
 
 # paths

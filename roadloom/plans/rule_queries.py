@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import access, conditional, costs, names, scalars
 from ..operators import areas, elevation, extract, geojson, graph, lookup, matching, platforms
-from .network import NETWORK_SQL, Network, network
+from .network import NETWORK_SQL, Network, _duck, network
+from .queries import _COSTS
+from .tables import kept
+from .tag_queries import _PENALTY, _RULES, _USUAL, TAGS_SQL, bags
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -396,3 +399,67 @@ def _(spark, sf_dir):
     order = Window.partitionBy("l_orderkey").orderBy("l_quantity", "l_partkey", "l_linenumber", "l_suppkey", "l_extendedprice")
     rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("point"), F.col("l_partkey").alias("way"), F.col("l_quantity").cast("double").alias("distance"), (F.row_number().over(order) + 3).cast("long").alias("rank"))
     return lookup.cut_off(rows, F.lit(100.0))
+
+
+# from tags to costs: extraction of ways, nodes and crossings out of tagged objects, priced for every profile
+
+_KEPT = f"""{TAGS_SQL}, k as (select *, coalesce(floor(case maxspeed when '50' then 50 when '30 mph' then 30 * 1.609344 when '100 km/h' then 100 when '20 knots' then 20 * 1.852 end), {_USUAL}) as kmh from t),
+access as (select way, {", ".join(f"coalesce(({rule}) = 'allow', false) or ({default} and coalesce(({rule}) <> 'deny', true)) as {name}" for name, (rule, default) in _RULES.items())},
+  {_PENALTY['bus']} as bus_penalty, {_PENALTY['rail']} as railway_penalty, (select max(c) from (values (10), (20), (30), (50), (60), (80), (100), (120)) v(c) where c <= greatest(kmh, 10)) as speed,
+  coalesce(highway in ('motorway', 'motorway_link', 'trunk', 'trunk_link', 'primary', 'primary_link', 'secondary', 'secondary_link', 'tertiary', 'tertiary_link', 'unclassified'), false) as big_street,
+  coalesce(oneway in ('yes', '-1'), false) or coalesce(junction = 'roundabout', false) or (coalesce(junction = 'circular', false) and oneway is null) as oneway, coalesce(oneway = '-1', false) as oneway_reverse,
+  coalesce(motor_vehicle = 'no', false) or coalesce(vehicle in ('private', 'delivery', 'no'), false) as motor_vehicle_no, coalesce(motor_vehicle = 'destination', false) or coalesce(vehicle = 'destination', false) as destination,
+  coalesce(sidewalk = 'separate', false) as sidewalk_separate, coalesce(highway = 'steps', false) as steps, coalesce(highway = 'elevator', false) as elevator, parking is not null as parking from k),
+tagged as (select * exclude (rail), rail as railway, false as in_route, false as detour, false as lez, null::varchar as hgv_access, null::int as maxweight_100kg from access),
+refs as (select way, count(*) as n, arg_min(node, pos) = arg_max(node, pos) as loop from way_nodes group by way having count(*) >= 2),
+admitted as (select tagged.* from tagged join refs using (way) where (not elevator or loop) and (foot or bike or car or bus or bus_penalty or railway or railway_penalty or ferry)),
+spots as (select p_partkey as node, {_duck['lat']} as lat, {_duck['lng']} as lng, p_partkey % 10 = 3 as gated, p_partkey % 50 = 7 as lift from part),
+passes as (select w.* from way_nodes w semi join admitted using (way)),
+uses as (select node, count(*) as n from passes group by node),
+crossings as (select s.*, not gated as foot, not gated as bike, not gated as car, not gated as bus, lift as elevator from spots s left join uses using (node) where coalesce(n, 0) + case when gated or lift then 1 else 0 end >= 2),
+placed as (select p.way, p.pos, p.node, s.lat, s.lng from passes p join spots s using (node)),
+ahead as (select q.way, q.pos, q.node, sum(coalesce({_HAVERSINE}, 0)) over (partition by q.way order by q.pos) as along from placed q left join placed p on p.way = q.way and p.pos = q.pos - 1),
+joined as (select way, row_number() over w - 1 as pos, node, lead(node) over w as next, round(lead(along) over w - along)::bigint as dist from ahead semi join crossings using (node) window w as (partition by way order by pos)),
+moves_ as (select way, pos, node as src, next as dst, true as forward, dist from joined where next is not null union all select way, pos + 1, next, node, false, dist from joined where next is not null),
+e as (select m.*, a.* exclude (way, elevator), c.foot as node_foot, c.bike as node_bike, c.car as node_car, c.bus as node_bus, c.elevator as node_elevator from moves_ m join admitted a using (way) join crossings c on c.node = m.dst)"""
+
+
+def _extracted_sql(profile: str) -> str:
+    cost, duration, node = (x.replace("(forward or not oneway)", "(not oneway or forward <> oneway_reverse)") for x in _COSTS[profile])
+    return f"select '{profile}' as profile, way, count(*) as edges, sum({cost} + {node})::bigint as cost, sum(least(greatest({duration}, 0), 65535))::bigint as duration from e where {cost} + {node} is not null group by way"
+
+
+def _tagged_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = F.expr("case when p_partkey % 10 = 3 then map('barrier', 'wall', 'access', 'no') when p_partkey % 50 = 7 then map('highway', 'elevator') else map() end").cast("map<string,string>")
+    place = [F.expr(e).alias(c) for c, e in {"lat": "48.0d + (p_partkey % 1000) * 0.001d", "lng": "9.0d + floor(p_partkey / 1000) * 0.001d"}.items()]
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), *place, tags.alias("tags"))
+
+
+def _extracted(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    refs = network(spark, sf_dir).way_nodes.groupBy("way").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"]).alias("refs"))
+    return extract.extract(_tagged_nodes(spark, sf_dir), bags(spark, sf_dir).join(refs, "way").select("way", "refs", "tags"))
+
+
+def _extract_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _extracted(spark, sf_dir)
+    way_nodes = kept(found["way_nodes"], "way-nodes")
+    edges, out = Network(found["ways"], found["nodes"], way_nodes).edges, None
+    for name, profile in costs.profiles().items():
+        one = costs.priced(edges, found["ways"], found["nodes"], profile).groupBy("way").agg(F.count(F.lit(1)).alias("edges"), F.sum("cost").cast("long").alias("cost"), F.sum("duration").cast("long").alias("duration"))
+        one = one.select(F.lit(name).alias("profile"), "way", "edges", "cost", "duration")
+        out = one if out is None else out.union(one)
+    return out
+
+
+QUERIES["extract_costs"] = _extract_costs
+SQL["extract_costs"] = f"with recursive {NETWORK_SQL}, {_KEPT} " + " union all ".join(_extracted_sql(p) for p in _COSTS)
+
+
+@query("extract_nodes", f"with recursive {NETWORK_SQL}, {_KEPT} select node, foot, car, elevator from crossings")
+def _(spark, sf_dir):
+    return _extracted(spark, sf_dir)["nodes"].select("node", "foot", "car", "elevator")
+
+
+@query("extract_way_nodes", f"with recursive {NETWORK_SQL}, {_KEPT} select way, pos, node, dist from joined")
+def _(spark, sf_dir):
+    return _extracted(spark, sf_dir)["way_nodes"]
