@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.access import Tags
 from ..functions.scalars import osm_order
+from ..plans.tables import kept
 from . import graph
 
 
@@ -69,10 +70,10 @@ def extract(nodes: DataFrame, ways: DataFrame, relations: DataFrame | None = Non
         t = Tags(F.col("tags"), "relation")
         members = relations.select("relation", t.in_route.alias("in_route"), t.detour.alias("detour"), F.explode("members").alias("m")).filter("m.type = 'way'")
         merged = merged_relations(members.select("relation", F.col("m.ref").alias("way"), "in_route", "detour"))
-    kept_ways = admitted_ways(ways, merged)
-    shape = geometry(kept_ways, nodes)
-    crossings = graph.graph_nodes(shape, blocking_nodes(nodes))
-    way_nodes = graph.connected_way_nodes(shape, crossings)
+    kept_ways = kept(admitted_ways(ways, merged), "ways")  # rules on tags are long: they are worked out once
+    shape = kept(geometry(kept_ways, nodes), "geometry")
+    crossings = kept(graph.graph_nodes(shape, blocking_nodes(nodes)), "crossings")
+    way_nodes = kept(graph.connected_way_nodes(shape, crossings), "way-nodes")
     t = Tags(F.col("tags"), "node")
     properties = nodes.join(crossings.select("node"), "node", "left_semi").select("node", "lat", "lng", *[c.alias(n) for n, c in t.node_properties().items()])
     out = {"ways": kept_ways.drop("refs", "tags"), "nodes": properties, "way_nodes": way_nodes.select("way", "pos", "node", "dist"), "geometry": shape, "node_ways": graph.node_ways(way_nodes)}

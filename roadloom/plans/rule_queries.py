@@ -442,10 +442,10 @@ def _extracted(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def _extract_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _extracted(spark, sf_dir)
-    way_nodes = kept(found["way_nodes"], "way-nodes")
-    edges, out = Network(found["ways"], found["nodes"], way_nodes).edges, None
+    nodes = kept(found["nodes"], "nodes")
+    edges, out = kept(Network(found["ways"], nodes, found["way_nodes"]).edges, "edges"), None
     for name, profile in costs.profiles().items():
-        one = costs.priced(edges, found["ways"], found["nodes"], profile).groupBy("way").agg(F.count(F.lit(1)).alias("edges"), F.sum("cost").cast("long").alias("cost"), F.sum("duration").cast("long").alias("duration"))
+        one = costs.priced(edges, found["ways"], nodes, profile).groupBy("way").agg(F.count(F.lit(1)).alias("edges"), F.sum("cost").cast("long").alias("cost"), F.sum("duration").cast("long").alias("duration"))
         one = one.select(F.lit(name).alias("profile"), "way", "edges", "cost", "duration")
         out = one if out is None else out.union(one)
     return out
