@@ -31,11 +31,12 @@ class Profile:
     uturn: int = 0
     turn_aware: bool = False
     turn: tuple = ()
+    oneway: str = "oneway_car"
 
 
 def _direction(oneway: str) -> Column:
-    """Both ways, or the way's own direction, or the other one where the sign points backwards."""
-    return ~_flag(oneway) | (C("forward") != _flag("oneway_reverse"))
+    """Both ways, or only along the sign: forward is told along it, see priced()."""
+    return ~_flag(oneway) | C("forward")
 
 
 def foot(wheelchair: bool = False, speed: float | None = None) -> Profile:
@@ -49,12 +50,12 @@ def foot(wheelchair: bool = False, speed: float | None = None) -> Profile:
 
 def bike(fast: bool = False, climb: int = 0) -> Profile:
     """climb: the weight of metres up over distance, 570 or 3700 for the two hill-shy costings."""
-    usable = _flag("bike") & _direction("oneway_bike")
+    usable = _flag("bike") & _direction("oneway")
     pace = F.lit(4.2) + (F.lit(0.0) if fast else F.when(_flag("big_street"), -0.7).otherwise(0.0) + F.when(_flag("motor_vehicle_no"), 0.5).otherwise(0.0))
     cost = F.round(C("dist") / pace).cast("long")
     if climb:
         cost = cost + climb_cost(climb, C("up"), C("dist"))
-    return Profile("bike", F.when(usable, cost), F.when(usable, clamp_duration(F.round(C("dist") / 4.2))), F.when(_flag("node_bike"), 0))
+    return Profile("bike", F.when(usable, cost), F.when(usable, clamp_duration(F.round(C("dist") / 4.2))), F.when(_flag("node_bike"), 0), oneway="oneway_bike")
 
 
 def climb_cost(weight: int, up: Column, dist: Column) -> Column:
@@ -66,23 +67,23 @@ def seconds_a_metre(kmh: Column) -> Column:
 
 
 def car() -> Profile:
-    usable = _flag("car") & _direction("oneway_car")
+    usable = _flag("car") & _direction("oneway")
     base = F.rint(C("dist") * seconds_a_metre(C("speed"))).cast("long")
     cost = clamp_cost(F.when(_flag("destination"), base * 5 + 120).otherwise(base))
     return Profile("car", F.when(usable, cost), F.when(usable, clamp_duration(base)), F.when(_flag("node_car"), 0), uturn=120, turn_aware=True)
 
 
 def bus() -> Profile:
-    usable = (_flag("bus") | _flag("bus_penalty")) & _direction("oneway_bus_psv")
+    usable = (_flag("bus") | _flag("bus_penalty")) & _direction("oneway")
     kmh = F.when(_flag("in_route"), F.greatest(C("speed"), F.lit(50))).otherwise(C("speed"))
     base = F.rint(C("dist") * seconds_a_metre(kmh)).cast("long")
     cost = F.rint(F.when(_flag("in_route") | ~_flag("car"), 1.0).otherwise(1.5) * C("dist") * seconds_a_metre(kmh)).cast("long")
     cost = cost * F.when(_flag("parking"), 2).otherwise(1) * F.when(_flag("bus_penalty"), F.when(_flag("in_route"), 2).otherwise(4)).otherwise(1)
-    return Profile("bus", F.when(usable, cost), F.when(usable, clamp_duration(base)), F.when(_flag("node_bus"), 0).otherwise(60), uturn=120, turn_aware=True, turn=((46, 10), (78, 25)))
+    return Profile("bus", F.when(usable, cost), F.when(usable, clamp_duration(base)), F.when(_flag("node_bus"), 0).otherwise(60), uturn=120, turn_aware=True, turn=((46, 10), (78, 25)), oneway="oneway_bus_psv")
 
 
 def railway() -> Profile:
-    usable = (_flag("railway") | _flag("railway_penalty")) & _direction("oneway_car")
+    usable = (_flag("railway") | _flag("railway_penalty")) & _direction("oneway")
     cost = C("dist") * F.when(_flag("railway_penalty"), F.when(_flag("in_route"), 2).otherwise(4)).otherwise(1)
     return Profile("railway", F.when(usable, cost), F.when(usable, clamp_duration(C("dist"))), F.lit(0), uturn=1000, turn_aware=True)
 
@@ -122,13 +123,13 @@ class Truck:
 
 def hgv(truck: Truck = Truck()) -> Profile:
     """Signs for trucks go before those for cars, by direction; a sign for what the truck carries goes for it as well."""
-    access = F.coalesce(F.when(C("forward"), C("hgv_access_forward")).otherwise(C("hgv_access_backward")), C("hgv_access"), F.lit(""))
+    access = F.coalesce(C("hgv_access"), F.lit(""))
     signs = [access, *[F.coalesce(C(sign), F.lit("")) for sign, trait in TRAITS.items() if getattr(truck, trait)]]
     some = lambda *values: reduce(Column.__or__, [s.isin(*values) for s in signs])
     fits = [F.coalesce(C(limit) >= getattr(truck, own), F.lit(True)) for limit, own in LIMITS.items() if getattr(truck, own) is not None]
     allowed = F.when(some(*CLOSED), False).when(access != "", True).otherwise(_flag("car"))
-    usable = reduce(Column.__and__, fits, allowed & _direction("oneway_car") & (F.lit(True) if truck.lez_access else ~_flag("lez")))
-    kmh = F.greatest(F.least(F.lit(truck.top_speed_kmh), F.coalesce(C("hgv_maxspeed_kmh"), C("speed"))), F.lit(1))
+    usable = reduce(Column.__and__, fits, allowed & _direction("oneway") & (F.lit(True) if truck.lez_access else ~_flag("lez")))
+    kmh = F.greatest(F.least(F.lit(truck.top_speed_kmh), C("speed")), F.lit(1))
     limited = some(*LIMITED) | (~some("designated") & _flag("destination"))
     factor = F.when(limited, 5.0).when(some("designated"), 0.8).otherwise(1.0) * F.when(_flag("detour"), 0.9).otherwise(1.0)
     base = F.round(C("dist") * seconds_a_metre(kmh)).cast("long")
@@ -166,8 +167,13 @@ def settled(ways):
 
 
 def priced(edges, ways, nodes, profile: Profile):
-    """Edges with properties of their way and of the node they lead to, with cost (of way and node) and duration; infeasible ones are dropped."""
+    """Edges with properties of their way and of the node they lead to, with cost (of way and node) and duration; infeasible
+    ones are dropped. What depends on direction is settled first: the oneway sign for the profile's kind of vehicle, forward
+    along that sign (which may point against the way), and the access and speed that are signed for trucks."""
     to = nodes.select(C("node").alias("dst"), *[C(n).alias(f"node_{n}") for n in ("foot", "bike", "car", "bus", "elevator") if n in nodes.columns])
-    rows = edges.join(settled(ways), "way").join(to, "dst")
+    rows = edges.join(settled(ways), "way").join(to, "dst").withColumn("_forward", C("forward"))
+    access = F.coalesce(F.when(C("_forward"), C("hgv_access_forward")).otherwise(C("hgv_access_backward")), C("hgv_access"))
+    speed = F.coalesce(C("hgv_maxspeed_kmh"), C("speed")) if profile.name == "hgv" else C("speed")
+    rows = rows.withColumns({"oneway": _flag(profile.oneway), "forward": C("_forward") != _flag("oneway_reverse"), "hgv_access": access, "speed": speed})
     rows = rows.withColumn("cost", profile.cost + profile.node_cost).withColumn("duration", profile.duration)
-    return rows.filter("cost is not null").select("way", "pos", "src", "dst", "to_pos", "forward", "dist", "cost", "duration")
+    return rows.filter("cost is not null").select("way", "pos", "src", "dst", "to_pos", C("_forward").alias("forward"), "dist", "cost", "duration")
