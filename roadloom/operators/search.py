@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.costs import Profile, turn_cost
-from ..plans.tables import drop, kept, sized
+from ..plans.tables import drop, file_bytes, kept, sized
 
 LEAST_BUDGET = 900
-#: Steps that a round takes before its labels are written; each step's exchange feeds the next one twice.
-HOPS = 3
+#: Steps that a round takes before its labels are written, while these are so few bytes that a round's jobs cost more than
+#: working out a step twice; with more labels a round is one step.
+HOPS, FEW = 3, 2 << 20
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -45,7 +46,7 @@ def search(edges: DataFrame, starts: DataFrame, max_cost: int | None = None, bou
             told = best.join(wanted, ["query", "state"]).groupBy("query").agg(F.max("cost").alias("far"), F.count(F.lit(1)).alias("have"))
             done = told.join(wanted.groupBy("query").agg(F.count(F.lit(1)).alias("want")), "query").filter("have = want").select("query", "far")
             new = best.join(done, "query", "left").withColumn("moved", F.col("moved") & (F.col("far").isNull() | (F.col("cost") < F.col("far")))).drop("far")
-        for _ in range(HOPS):
+        for _ in range(HOPS if file_bytes(best) <= FEW else 1):
             frontier = new.filter("moved")
             found = frontier.join(steps, frontier.state == steps.src).select("query", F.col("dst").alias("state"), (F.col("cost") + F.col("step")).alias("cost"), F.lit(None).cast("long").alias("known"))
             both = keep(found).union(new.select("query", "state", "cost", F.col("cost").alias("known")))

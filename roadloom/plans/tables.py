@@ -35,10 +35,15 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sized(df: DataFrame, most: int = 16 << 20) -> DataFrame:
-    """A kept table with a broadcast hint if its files are that small; a larger one is joined by shuffle."""
+def file_bytes(df: DataFrame) -> int:
+    """Bytes on disk of a kept table."""
     spark, total = df.sparkSession, 0
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-    return F.broadcast(df) if total <= most else df
+    return total
+
+
+def sized(df: DataFrame, most: int = 16 << 20) -> DataFrame:
+    """A kept table with a broadcast hint if its files are that small; a larger one is joined by shuffle."""
+    return F.broadcast(df) if file_bytes(df) <= most else df
