@@ -229,6 +229,43 @@ def test_elevation(spark):
     assert {(r.way, r.forward): (r.up, r.down) for r in elevation.read(edges, elevation.stored(found)).collect()} == {(1, True): (14, 2), (1, False): (2, 14), (2, True): (0, 0)}
 
 
+def test_climbs_along_equal_climbs(spark):
+    rows = [(w, p, 48 + w * 0.05, 9 + p * 0.03, 48 + (w * 7 % 20) * 0.04, 9 + (p * 3 % 5) * 0.02) for w in range(20) for p in range(5)]
+    segments = spark.createDataFrame(rows, "way long, pos long, lat_a double, lng_a double, lat_b double, lng_b double")
+    raster = spark.range(1000).withColumnRenamed("id", "row").crossJoin(spark.range(60).withColumnRenamed("id", "col")).filter("(row + col) % 9 <> 0").withColumn("metres", F.expr("row * 7 + col * 13") % 50)
+    for shift in (0.0, 0.013):
+        want = {(r.way, r.pos): (r.up, r.down) for r in elevation.climbs(elevation.samples(segments, 0.001), raster, 0.001, 49.0, 9.0, shift).collect()}
+        assert {(r.way, r.pos): (r.up, r.down) for r in elevation.climbs_along(segments, raster, 0.001, 49.0, 9.0, shift).collect()} == want
+
+
+def small_network(spark, path, parts, lines):
+    """Tables of a network: part keys and, by order, the parts it joins."""
+    spark.createDataFrame([(p, 10) for p in parts], "p_partkey long, p_size int").write.parquet(f"{path}/part.parquet")
+    rows = [(o, p, 1, k + 1, 5.0, 1.0) for o, refs in lines.items() for k, p in enumerate(refs)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double").write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame([(o, "F", "1-URGENT") for o in lines], "o_orderkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{path}/orders.parquet")
+
+
+def against_sql(spark, name, path):
+    """Rows of a query and of its SQL."""
+    import duckdb
+
+    import __spark_entry__
+
+    found, c = __spark_entry__.queries()[name](spark, str(path)), duckdb.connect()
+    for t in ("part", "lineitem", "orders"):
+        c.execute(f"create view {t} as select * from '{path}/{t}.parquet/*.parquet'")
+    want = c.execute(f"select {', '.join(chr(34) + n + chr(34) for n in found.columns)} from ({__spark_entry__.oracle_sql()[name]})").fetchall()
+    return sorted(map(tuple, found.collect())), sorted(want)
+
+
+@pytest.mark.parametrize("name", ["way_climbs", "edge_climbs"])
+def test_climbs_of_all_pieces(spark, tmp_path, name):
+    small_network(spark, tmp_path, [1, 5, 900, 26500, 95007], {1: [1, 5, 900], 2: [26500, 95007], 3: [5, 95007, 900]})
+    got, want = against_sql(spark, name, tmp_path)
+    assert got == want and len(got) == (5 if name == "way_climbs" else 10)
+
+
 def test_platforms(spark):
     rows = spark.createDataFrame([(1, [5], {"name": "A; B ", "ref": "1"}), (2, [6], {"highway": "x"})], "id long, refs array<long>, tags map<string,string>")
     assert [sorted(r.names) for r in platforms.platforms(rows).collect()] == [["1", "A", "B"]]
