@@ -266,6 +266,14 @@ def test_climbs_of_all_pieces(spark, tmp_path, name):
     assert got == want and len(got) == (5 if name == "way_climbs" else 10)
 
 
+def test_areas_hold_at_all_longitudes_and_borders(spark, tmp_path):
+    middles = {k: [(50 if k % 2 else 100) - k, (50 if k % 2 else 100) + 1 + k] for k in range(10)}
+    small_network(spark, tmp_path, [*range(120), 950210, 950300, 950650, 950390, 950360], middles | {20: [950210, 950300], 21: [950650, 950390], 22: [950300, 950360], 23: [950360, 950210]})
+    for name in ("way_timezones", "ways_in_areas"):
+        got, want = against_sql(spark, name, tmp_path)
+        assert got == want and want, name
+
+
 def test_platforms(spark):
     rows = spark.createDataFrame([(1, [5], {"name": "A; B ", "ref": "1"}), (2, [6], {"highway": "x"})], "id long, refs array<long>, tags map<string,string>")
     assert [sorted(r.names) for r in platforms.platforms(rows).collect()] == [["1", "A", "B"]]
