@@ -253,7 +253,7 @@ def against_sql(spark, name, path):
     import __spark_entry__
 
     found, c = __spark_entry__.queries()[name](spark, str(path)), duckdb.connect()
-    for t in ("part", "lineitem", "orders"):
+    for t in (t.name[:-8] for t in path.iterdir()):
         c.execute(f"create view {t} as select * from '{path}/{t}.parquet/*.parquet'")
     want = c.execute(f"select {', '.join(chr(34) + n + chr(34) for n in found.columns)} from ({__spark_entry__.oracle_sql()[name]})").fetchall()
     return sorted(map(tuple, found.collect())), sorted(want)
@@ -274,6 +274,15 @@ def test_areas_hold_at_all_longitudes_and_borders(spark, tmp_path):
         assert got == want and want, name
 
 
+def test_nearest_ways_are_of_all_ways(spark, tmp_path):
+    small_network(spark, tmp_path, range(120), {w: [w, 99 - w, w + 20] for w in range(1, 40)})
+    spark.range(500).withColumnRenamed("id", "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("nearest_way_topk", "match_left_right"):
+        got, want = against_sql(spark, name, tmp_path)
+        assert got == want
+        assert name != "nearest_way_topk" or ({r[0] for r in got} == {0, 50, 100} and any(r[1] % 20 for r in got))
+
+
 def test_platforms(spark):
     rows = spark.createDataFrame([(1, [5], {"name": "A; B ", "ref": "1"}), (2, [6], {"highway": "x"})], "id long, refs array<long>, tags map<string,string>")
     assert [sorted(r.names) for r in platforms.platforms(rows).collect()] == [["1", "A", "B"]]
