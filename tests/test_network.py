@@ -293,6 +293,13 @@ def test_nearest_ways_are_of_all_ways(spark, tmp_path):
         assert name != "nearest_way_topk" or ({r[0] for r in got} == {0, 50, 100} and any(r[1] % 20 for r in got))
 
 
+def test_partitions_follow_the_table(spark, tmp_path):
+    from roadloom.plans.tables import shares
+
+    small_network(spark, tmp_path, range(50), {w: [w, w + 1] for w in range(40)})
+    assert shares(spark, f"{tmp_path}/lineitem.parquet") == 4 and shares(spark, f"{tmp_path}/lineitem.parquet", 100) > 20
+
+
 def test_platforms(spark):
     rows = spark.createDataFrame([(1, [5], {"name": "A; B ", "ref": "1"}), (2, [6], {"highway": "x"})], "id long, refs array<long>, tags map<string,string>")
     assert [sorted(r.names) for r in platforms.platforms(rows).collect()] == [["1", "A", "B"]]
