@@ -356,3 +356,17 @@ def test_rasters(spark, tmp_path):
     with pytest.raises(ValueError, match="NCOLS"):
         rasters.parse_header("NROWS 2")
     assert rasters.hgt_corner("N48E009.hgt") == (48, 9) and rasters.hgt_corner("S01W120.hgt") == (-1, -120)
+
+
+def test_edges_meet_nodes_in_parts(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, 0, 5, 6, 1, True, 12), (1, 1, 6, 5, 0, False, 12), (2, 0, 5, 7, 1, True, 12)], "way long, pos long, src long, dst long, to_pos long, forward boolean, dist long")
+    ways = spark.createDataFrame([(1, True, False), (2, False, False)], "way long, foot boolean, bike boolean")
+    nodes = spark.createDataFrame([(n, n != 6, False) for n in (5, 6, 7)], "node long, foot boolean, elevator boolean")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = costs.priced(edges, ways, nodes, costs.foot(), 9)
+        assert found.rdd.getNumPartitions() == 9
+        assert [tuple(r) for r in found.collect()] == [(1, 1, 6, 5, 0, False, 12, 10, 10)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

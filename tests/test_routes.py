@@ -191,3 +191,46 @@ def test_id_codes(spark):
     ids = [0, 5, -1, -7, 2**45, -(2**45)]
     got = spark.createDataFrame([(i,) for i in ids], "id long").select("id", names.id_code(F.col("id")).alias("c"), names.id_of_code(names.id_code(F.col("id"))).alias("b")).collect()
     assert all(r.b == r.id and r.c % (1 << 64) == names.encode_id(r.id) for r in got)
+
+
+def test_regions_equal_supersteps(spark, monkeypatch):
+    """Searches in memory, by supersteps and where a region is too large for a task agree, also in predecessors and targets."""
+    rng = np.random.default_rng(5)
+    rows = [(int(a) + part * 1000, int(b) + part * 1000, int(c)) for part in range(3) for a, b, c in zip(rng.integers(0, 60, 150), rng.integers(0, 60, 150), rng.integers(0, 9, 150), strict=True)]
+    edges = spark.createDataFrame(rows, "src long, dst long, cost long")
+    starts = spark.createDataFrame([(1, 5, 0), (1, 1007, 4), (1, 9, 3), (2, 11, 0), (3, 2030, 2), (4, 77777, 1), (5, 77777, 99)], "query long, state long, cost long")
+    told = lambda found, *more: sorted((r.query, r.state, r.cost, *(r[m] for m in more)) for r in found.collect())
+    want = told(search.supersteps(edges, starts))
+    assert {q for q, *_ in want} == {1, 2, 3, 4, 5} and told(search.search(edges, starts)) == want
+    assert told(search.search(edges, starts, 12)) == told(search.supersteps(edges, starts, 12))
+    back = told(search.predecessors(search.supersteps(edges, starts), edges), "pred")
+    assert told(search.search(edges, starts, came=True), "pred") == back
+    goals = spark.createDataFrame([(s,) for s in (20, 1020, 2020, 77777)], "state long")
+    some = told(search.search(edges, starts, targets=goals))
+    assert [r for r in some if r[1] in (20, 1020, 2020)] == [r for r in want if r[1] in (20, 1020, 2020)] and len(some) < 12
+    paths_to = told(search.search(edges, starts, targets=goals, came=True), "pred")
+    assert set(paths_to) <= set(back) and {(q, p) for q, _, _, p in paths_to} <= {(q, s) for q, s, _, _ in paths_to}
+    pairs = spark.createDataFrame([(7, 5, 20), (8, 5, 1020), (9, 1007, 1020), (10, 77777, 77777)], "query long, source long, target long")
+    met = sorted(map(tuple, search.bidirectional(edges, pairs, 1000).collect()))
+    monkeypatch.setattr(search.regions, "MOST", 100)
+    assert told(search.search(edges, starts)) == want and told(search.search(edges, starts, came=True), "pred") == back
+    assert sorted(map(tuple, search.bidirectional(edges, pairs, 1000).collect())) == met
+
+
+def test_rounds_do_not_follow_a_path(spark):
+    line = spark.createDataFrame([(k, k + 1, 1) for k in range(400)], "src long, dst long, cost long")
+    starts = spark.createDataFrame([(0, 0, 0)], "query long, state long, cost long")
+    spark.sparkContext.setJobGroup("line", "line")
+    assert search.search(line, starts).agg(F.max("cost")).first()[0] == 400
+    spark.sparkContext.setJobGroup("other", "other")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("line")) < 40
+
+
+def test_chunks_are_linked(spark):
+    from roadloom.operators import regions
+
+    pairs = spark.createDataFrame([(w, (w * 7) % 90) for w in range(300)] + [(w, 1000 + w // 2) for w in range(200)], "way long, node long").repartition(3)
+    for few in (regions.FEW, 0):
+        got = {r.id: r.region for r in regions.regions(pairs, False, 40, few).filter("kind = 0").collect()}
+        want = {r.id: r.region for r in regions.regions(pairs.coalesce(1), False).filter("kind = 0").collect()}
+        assert got == want and len(got) == 300 and set(want.values()) < set(want)
