@@ -3,12 +3,15 @@ streams of their points in order, many a task, so no work waits for the longest
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import kept
+
 NOT_NEAREST = 30
 #: Straight-line distance in metres up to which a limit factor holds, and the factor; the last is for all beyond.
 LIMITS = ((2000.0, 10.0), (10000.0, 4.0), (None, 3.0))
@@ -84,3 +87,23 @@ def counters(segments: DataFrame) -> DataFrame:
     rows = segments.withColumn("offset", F.coalesce(F.sum("parts").over(order), F.lit(0)))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("segment", "offset"))), lambda x: x["offset"])
     return rows.groupBy("trace").agg(F.count_if(F.col("routed")).alias("routed"), F.count_if(~F.col("routed")).alias("beelined"), F.sum("parts").alias("segments"), F.concat(ordered, F.array(F.sum("parts"))).alias("offsets"))
+
+
+def quantiles(values: DataFrame, shares: dict[str, float], each: int = 1 << 17) -> DataFrame:
+    """One row: by name, the least value (of the column value, nulls aside) that has the share of all values at or below it. Counts
+    of values are dealt by ranges, only the ranges' sums come to the driver, and a task orders one range."""
+    counts = kept(values.filter("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("many")), "values")
+    parts = max(1, -(-counts.count() // each))
+    counts = kept(counts.repartitionByRange(parts, "value").withColumn("part", F.spark_partition_id()), "values")
+    sums = counts.groupBy("part").agg(F.sum("many").alias("many")).orderBy("part").collect()
+    total, before, wanted = sum(r.many for r in sums), 0, {}
+    for r in sums:
+        for name, share in shares.items():
+            rank = max(1, math.ceil(total * share))
+            if before < rank <= before + r.many:
+                wanted[name] = (r.part, rank - before)
+        before += r.many
+    rows = counts.filter(F.col("part").isin([p for p, _ in wanted.values()]))
+    rows = rows.withColumn("upto", F.sum("many").over(Window.partitionBy("part").orderBy("value")))
+    at = lambda name: (F.col("part") == wanted[name][0]) & (F.col("upto") >= wanted[name][1]) if name in wanted else F.lit(False)
+    return rows.agg(*[F.min(F.when(at(name), F.col("value"))).alias(name) for name in shares])

@@ -370,3 +370,11 @@ def test_edges_meet_nodes_in_parts(spark, monkeypatch):
         assert [tuple(r) for r in found.collect()] == [(1, 1, 6, 5, 0, False, 12, 10, 10)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_quantiles_by_ranges(spark):
+    rows = [(float(v * 7 % 101),) for v in range(1000)] + [(None,)] * 5
+    got = matching.quantiles(spark.createDataFrame(rows, "value double"), {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.99, "e": 1.0}, 9).first()
+    order = sorted(v for (v,) in rows if v is not None)
+    assert tuple(got) == (order[0], order[99], order[499], order[989], order[999])
+    assert tuple(matching.quantiles(spark.createDataFrame([], "value double"), {"a": 0.5}).first()) == (None,)
