@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import access, conditional, scalars
 from ..operators import platforms, search
+from .tables import shares
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -128,6 +129,7 @@ SQL["level_codes"] = "with c as (select p_partkey, trunc((least(greatest((p_part
 
 def _level_lists(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat_ws(";", (F.col("p_partkey") % 5).cast("string"), (F.col("p_partkey") % 3 - 1).cast("string"), (F.col("p_partkey") % 2).cast("string")).alias("text"))
+    rows = rows.repartition(shares(spark, f"{sf_dir}/part.parquet", 1 << 18))  # lists are slow to read, and a file of many rows is small
     found = scalars.levels_of_bits(scalars.level_bits(F.col("text")))
     return rows.select("p_partkey", scalars.level_value(found["from"]).alias("lowest"), scalars.level_value(found["to"]).alias("highest"), found["multi"].alias("multi"))
 
