@@ -28,17 +28,27 @@ def blocking_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.filter((F.size("tags") > 0) & (~(t.foot & t.bike & t.car) | t.elevator | t.platform)).select("node")
 
 
-def admitted_ways(ways: DataFrame, relations: DataFrame | None = None) -> DataFrame:
-    """Ways (way, refs, tags) worth keeping, with their properties: two nodes or more, lifts only as loops, not mere land
-    use, and open to someone."""
+def admission() -> Column:
+    """Whether a way (refs, tags) is worth keeping: two nodes or more, lifts only as loops, not mere land use, and open to someone."""
+    t = Tags(F.col("tags"))
+    shaped = (F.size("refs") >= 2) & (~t.elevator | (F.element_at("refs", 1) == F.element_at("refs", -1))) & ~(t.landuse & (t["highway"] == "") & ~t.parking)
+    return shaped & (t.foot | t.bike | t.car | t.bus_access | t.bus_penalty | t.railway | t.railway_penalty | t.ferry_access | t.platform)
+
+
+def described(ways: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+    """Ways (way, refs, tags) with their properties."""
     t = Tags(F.col("tags"))
-    rows = ways.filter((F.size("refs") >= 2) & (~t.elevator | (F.element_at("refs", 1) == F.element_at("refs", -1))) & ~(t.landuse & (t["highway"] == "") & ~t.parking))
     trucks = {"access_forward": "hgv_access_forward", "access_backward": "hgv_access_backward", "maxspeed_kmh": "hgv_maxspeed_kmh"}
-    rows = rows.select("way", "refs", "tags", *[c.alias(n) for n, c in t.way_properties().items()], *[c.alias(trucks.get(n, n)) for n, c in t.hgv_info().items()])
+    rows = ways.select("way", "refs", "tags", *[c.alias(n) for n, c in t.way_properties().items()], *[c.alias(trucks.get(n, n)) for n, c in t.hgv_info().items()])
     if relations is not None:
         extra = relations.select("way", F.col("in_route").alias("_in_route"), F.col("detour").alias("_detour"))
         rows = rows.join(extra, "way", "left").withColumn("in_route", F.col("in_route") | F.coalesce("_in_route", F.lit(False))).withColumn("detour", F.col("detour") | F.coalesce("_detour", F.lit(False))).drop("_in_route", "_detour")
-    return rows.filter("foot or bike or car or bus or bus_penalty or railway or railway_penalty or ferry or platform")
+    return rows
+
+
+def admitted_ways(ways: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+    """Ways (way, refs, tags) worth keeping, with their properties."""
+    return described(ways.filter(admission()), relations)
 
 
 def geometry(ways: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -64,19 +74,23 @@ def turn_relations(relations: DataFrame, vehicle: str | None = None) -> DataFram
 
 def extract(nodes: DataFrame, ways: DataFrame, relations: DataFrame | None = None) -> dict[str, DataFrame]:
     """ways, nodes, way_nodes, node_ways, geometry, restrictions of tagged tables: nodes (node, lat, lng, tags), ways (way, refs,
-    tags), relations (relation, members, tags)."""
+    tags), relations (relation, members, tags). Each is worked out as it is
+    read: keep what is read often."""
     merged = None
     if relations is not None:
         t = Tags(F.col("tags"), "relation")
         members = relations.select("relation", t.in_route.alias("in_route"), t.detour.alias("detour"), F.explode("members").alias("m")).filter("m.type = 'way'")
         merged = merged_relations(members.select("relation", F.col("m.ref").alias("way"), "in_route", "detour"))
-    kept_ways = kept(admitted_ways(ways, merged), "ways")  # rules on tags are long: they are worked out once
+    # a flag, as a filter would be pushed down to where the tags are made and make them anew for every rule
+    flagged = ways.select("way", admission().alias("_kept"), "refs", "tags")
+    flagged = flagged.select("way", "_kept", *[F.when(F.col("_kept"), F.col(c)).alias(c) for c in ("refs", "tags")])
+    kept_ways = kept(flagged, "ways", long=True).filter("_kept").drop("_kept")
     shape = kept(geometry(kept_ways, nodes), "geometry")
     crossings = kept(graph.graph_nodes(shape, blocking_nodes(nodes)), "crossings")
-    way_nodes = kept(graph.connected_way_nodes(shape, crossings), "way-nodes")
+    way_nodes = graph.connected_way_nodes(shape, crossings)
     t = Tags(F.col("tags"), "node")
     properties = nodes.join(crossings.select("node"), "node", "left_semi").select("node", "lat", "lng", *[c.alias(n) for n, c in t.node_properties().items()])
-    out = {"ways": kept_ways.drop("refs", "tags"), "nodes": properties, "way_nodes": way_nodes.select("way", "pos", "node", "dist"), "geometry": shape, "node_ways": graph.node_ways(way_nodes)}
+    out = {"ways": described(kept_ways, merged).drop("refs", "tags"), "nodes": properties, "way_nodes": way_nodes.select("way", "pos", "node", "dist"), "geometry": shape, "node_ways": graph.node_ways(way_nodes)}
     if relations is not None:
         out["restrictions"] = graph.restrictions(turn_relations(relations), way_nodes)
     return out

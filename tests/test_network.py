@@ -91,6 +91,15 @@ def test_admission(spark):
     assert {r.way for r in extract.admitted_ways(ways).collect()} == {3, 6}
 
 
+def test_extract_works_out_what_is_read(spark):
+    found = extract.extract(*two_routes(spark, {1: {"highway": "proposed"}}))
+    assert {r.way for r in found["ways"].collect()} == {2, 10, 20}
+    written = spark.read.parquet(*found["ways"].inputFiles())
+    assert set(written.columns) == {"way", "_kept", "refs", "tags"}
+    assert [(r.refs, r.tags) for r in written.filter("not _kept").collect()] == [(None, None)]
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535"
+
+
 def test_ramp(spark):
     rows = [({"highway": "footway", "incline": "up"},), ({"highway": "footway"},), ({"highway": "path", "incline": "up"},)]
     t = access.Tags(F.col("tags"))
