@@ -387,3 +387,17 @@ def test_quantiles_by_ranges(spark):
     order = sorted(v for (v,) in rows if v is not None)
     assert tuple(got) == (order[0], order[99], order[499], order[989], order[999])
     assert tuple(matching.quantiles(spark.createDataFrame([], "value double"), {"a": 0.5}).first()) == (None,)
+
+
+@pytest.mark.parametrize(("name", "ways"), [("sssp_blocked", 10), ("sharing_sssp", 10), ("virtual_edges_sssp", 16)])
+def test_only_the_region_of_the_start_is_priced(spark, tmp_path, monkeypatch, name, ways):
+    """Regions 0 to 12, 14 to 20 (which only an edge of the query's own leads to) and 40 to 70 that no search gets to."""
+    from roadloom.plans import queries
+
+    lines = {w: [w, w + 2, w + 3] for w in range(10)} | {10 + k: [14 + k, 15 + k] for k in range(6)} | {20 + k: [40 + k, 41 + k] for k in range(30)}
+    small_network(spark, tmp_path, range(75), lines)
+    seen, real = [], queries.costs.priced
+    monkeypatch.setattr(queries.costs, "priced", lambda edges, *more: seen.append(edges) or real(edges, *more))
+    got, want = against_sql(spark, name, tmp_path)
+    assert got == want and len(got) > 5
+    assert all({r.way for r in edges.select("way").distinct().collect()} == set(range(ways)) for edges in seen) and seen
