@@ -257,3 +257,44 @@ def test_angles_are_dealt_to_as_many_partitions_as_asked_for(spark):
         assert sorted(map(tuple, found(7).collect())) == sorted(map(tuple, found(None).collect()))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_edges_of_a_node_lie_in_lists(spark):
+    from roadloom.operators import regions
+
+    rows = [(0, k % 500, k % 7) for k in range(1000)] + [(k, k + 1, 2) for k in range(1, 400)]
+    found = regions.split(spark.createDataFrame(rows, "src long, dst long, cost long"), spark.createDataFrame([(1, 0, 0)], "query long, state long, cost long"))
+    edges = found.groups.filter("kind = 0")
+    lists = edges.selectExpr("src", "size(dst) as many", "size(step) as steps").collect()
+    assert all(r.many == r.steps <= regions.PACKED for r in lists) and len(lists) < 500
+    assert sorted(map(tuple, edges.selectExpr("src", "inline(arrays_zip(dst, step))").collect())) == sorted(rows)
+
+
+@pytest.mark.parametrize("most", [None, 9, 25])
+def test_sides_meet_at_the_least_cost(most):
+    """In memory: targets of queries, met from both sides or from one, have the costs of the whole search."""
+    import pyarrow as pa
+
+    from roadloom.operators import regions
+
+    rng = np.random.default_rng(8)
+    src, dst, step = rng.integers(0, 70, 260), rng.integers(0, 70, 260), rng.integers(0, 9, 260)
+    names = ["kind", "query", "src", "dst", "step"]
+    listed = lambda values: pa.array([[int(v)] for v in values], pa.list_(pa.int64()))
+
+    def rows(kind, query, start, ends, costs):
+        whole = lambda v: pa.array([None if x is None else int(x) for x in v], pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(ends), pa.int32()), whole(query), whole(start), listed(ends), listed(costs)], names)
+
+    none = lambda n: [None] * n
+    given = [rows(0, none(260), src, dst, step), rows(1, range(12), none(12), range(12), [k % 3 for k in range(12)])]
+    told = lambda more, **how: {(q, s): c for b in regions._walk(**{"max_cost": most, "came": False, "chosen": False, "two": False} | how)(iter(given + more)) for q, s, c in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)}
+    whole = told([])
+    assert len(whole) > 12
+    one, several = [(q, (q * 5 + 3) % 75) for q in range(12)], [(q, (q * 5 + k) % 75) for q in range(9) for k in (3, 40, 66)]
+    for pairs in (one, several):
+        goals = [rows(2, [q for q, _ in pairs], none(len(pairs)), [t for _, t in pairs], [0] * len(pairs))]
+        want = {p: whole[p] for p in pairs if p in whole}
+        assert told(goals, chosen=True) == want
+        met = {q: c for (q, _), c in told(goals, chosen=True, two=True).items()}
+        assert met == {q: min(c for (p, _), c in want.items() if p == q) for q in {p for p, _ in want}}
